@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytefold.llm import packing, quality, simhash
+from bytefold.llm import packing, pii, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    count = [F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
+    joined = "concat_ws(',', transform({}, s -> concat_ws(':', s.kind, s.start, s.end)))"
+    return found.select(
+        "doc_id",
+        *count,
+        F.sha2(F.expr(joined.format("filter(spans, s -> s.base)")), 256).alias("base_sha256"),
+        F.expr(joined.format("spans")).alias("spans"),
+        F.expr("cast(size(filter(spans, s -> not s.base)) as bigint)").alias("n_added"),
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.report(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -59,5 +72,5 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   (not base_failed and not ({" or ".join(out)})) as kept from q"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op5_quality_rules": op5_quality_rules, "op7_best_fit_packing": op7_best_fit_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op3_pii_crf": op3_pii_crf, "op5_quality_rules": op5_quality_rules, "op7_best_fit_packing": op7_best_fit_packing}
 ORACLES: dict[str, str] = {"op5_quality_rules": _quality_sql()}
