@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytefold.llm import lm, packing, pii, quality, simhash
+from bytefold.llm import lm, packing, pii, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,13 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, ~out).select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op10_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~lm.held_out("id", 3, 1))
+    out = toxicity.scores(docs, model)
+    return out.select("doc_id", lm.held_out("doc_id", 3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def _quality_sql() -> str:
     stops = ", ".join(f"'{w}', '{w.capitalize()}'" for w in dict.fromkeys(quality.STOP_WORDS))
     out = []
@@ -78,5 +85,5 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   (not base_failed and not ({" or ".join(out)})) as kept from q"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op3_pii_crf": op3_pii_crf, "op5_quality_rules": op5_quality_rules, "op7_best_fit_packing": op7_best_fit_packing, "op9_lm_scores": op9_lm_scores}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op3_pii_crf": op3_pii_crf, "op5_quality_rules": op5_quality_rules, "op7_best_fit_packing": op7_best_fit_packing, "op9_lm_scores": op9_lm_scores, "op10_toxicity_pu": op10_toxicity_pu}
 ORACLES: dict[str, str] = {"op5_quality_rules": _quality_sql()}

@@ -115,15 +115,19 @@ def words(t: Texts, cut: np.ndarray | None = None) -> Words:
     return Words(s, np.flatnonzero(end) + 1, doc, first)
 
 
-def word_hashes(t: Texts, w: Words, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each word; equal words hash alike in every slice, document and process."""
-    if not len(w.start):
+def span_hashes(t: Texts, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hash of each byte span; equal spans hash alike in every slice, document and process."""
+    if not len(start):
         return np.zeros(0, np.uint64)
     up, down = _powers(len(t.data))
     run = np.zeros(len(t.data) + 1, dtype=np.uint64)
     np.cumsum((_BYTE[LOWER] if lower else _BYTE)[t.data] * up[: len(t.data)], out=run[1:])
-    h = (run[w.end] - run[w.start]) * down[w.start]
-    return mix(h + (w.end - w.start).astype(np.uint64))
+    h = (run[end] - run[start]) * down[start]
+    return mix(h + (end - start).astype(np.uint64))
+
+
+def word_hashes(t: Texts, w: Words, lower: bool = True) -> np.ndarray:
+    return span_hashes(t, w.start, w.end, lower)
 
 
 def normalised(t: Texts, w: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
