@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bytefold.llm import textkit, workspace
 from bytefold.llm.lm import Counts
@@ -32,9 +33,10 @@ from bytefold.llm.lm import Counts
 POSITIVES = 2000
 UNLABELLED = 6000
 FEATURES = 4096
-LEAST_DOCS = 6
-LIFT = 3.0
-BEGINNINGS = (4, 5, 6)
+LEAST_DOCS = 4
+LIFT = 4.0
+DEVIATIONS = 4.0
+BEGINNINGS = (4, 5, 6, 8)
 
 _TAIL = np.zeros(256, dtype=bool)
 _TAIL[[ord(c) for c in ".,;:!?\"')*#$%&|"]] = True
@@ -97,6 +99,28 @@ def _by_hash(ids: DataFrame, n: int) -> DataFrame:
     return ids.where("id is not null").orderBy(F.xxhash64("id"), "id").limit(n)
 
 
+def _shingle_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, p) with two minima over each text's 5-word shingles; near copies mostly share one."""
+    for b in batches:
+        low = [np.zeros((0, 2), np.uint64)]
+        for t in textkit.slices(b.column("text")):
+            w = textkit.words(t)
+            h = textkit.word_hashes(t, w)
+            a, z, doc = textkit.spans_of(w, 5)
+            s = np.zeros(len(a), np.uint64)
+            for k in range(5):
+                s = textkit.mix(s * np.uint64(3) + h[np.minimum(a + k, z)])
+            m = np.zeros((t.n, 2), np.uint64)
+            m[:, :] = (t.first + np.arange(t.n))[:, None]  # a text without words is its own
+            if len(a):
+                first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                m[doc[first], 0] = np.minimum.reduceat(s, first)
+                m[doc[first], 1] = np.minimum.reduceat(textkit.mix(s + np.uint64(0x9E3779B97F4A7C15)), first)
+            low.append(m)
+        m = np.concatenate(low).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("p"), b.column("text"), pa.array(m[:, 0]), pa.array(m[:, 1])], names=["id", "p", "text", "k0", "k1"])
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """learn: a boolean column over `id`; other rows give neither labels nor texts."""
     ids = docs.select(F.col(id_col).cast("long").alias("id")).where(learn)
@@ -107,7 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     chosen = _by_hash(sure, positives).withColumn("p", F.lit(1)).unionByName(_by_hash(ids.distinct(), unlabelled).withColumn("p", F.lit(0)))
     chosen = workspace.keep(chosen.coalesce(1), "chosen")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # at most positives + unlabelled ids
-    sample = workspace.keep(texts.select("p", "text"), "sample")
+    kept = texts.mapInArrow(_shingle_minima, "id long, p int, text string, k0 long, k1 long")
+    for k in ("k0", "k1"):  # copies of one text would make all its words look like signs
+        kept = kept.withColumn("r", F.row_number().over(Window.partitionBy("p", k).orderBy("id", "text"))).where("r = 1")
+    sample = workspace.keep(kept.select("p", "text"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         return Model(Counts(np.zeros(0, np.uint64), np.zeros(0, np.int64)), np.zeros(0), math.log(prior / (1 - prior)))
     rate_p, rate_u = F.col("p") / n_p, (F.col("u") + 0.5) / n_u
     best = sample.mapInArrow(count, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    best = best.where((F.col("p") >= min(LEAST_DOCS, max(1, n_p // 20))) & (rate_p >= LIFT * rate_u)).orderBy((rate_p - rate_u).desc(), "h").limit(FEATURES).toArrow()
+    best = best.where((F.col("p") >= min(LEAST_DOCS, max(1, n_p // 20))) & (rate_p >= LIFT * rate_u) & (F.col("p") - n_p * rate_u >= DEVIATIONS * F.sqrt(n_p * rate_u))).orderBy((rate_p - rate_u).desc(), "h").limit(FEATURES).toArrow()
     keys = best.column("h").to_numpy().view(np.uint64)
     index = Counts(keys, np.arange(1, len(keys) + 1))
 
