@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytefold.llm import lm, packing, pii, quality, simhash, toxicity
+from bytefold.llm import ann, lm, packing, pii, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"))
     count = [F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
@@ -85,5 +89,5 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   (not base_failed and not ({" or ".join(out)})) as kept from q"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op3_pii_crf": op3_pii_crf, "op5_quality_rules": op5_quality_rules, "op7_best_fit_packing": op7_best_fit_packing, "op9_lm_scores": op9_lm_scores, "op10_toxicity_pu": op10_toxicity_pu}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_ann_search": op2_ann_search, "op3_pii_crf": op3_pii_crf, "op5_quality_rules": op5_quality_rules, "op7_best_fit_packing": op7_best_fit_packing, "op9_lm_scores": op9_lm_scores, "op10_toxicity_pu": op10_toxicity_pu}
 ORACLES: dict[str, str] = {"op5_quality_rules": _quality_sql()}
