@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytefold.llm import ann, lm, packing, pii, quality, simhash, toxicity
+from bytefold.llm import ann, lm, packing, pii, quality, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign(_table(spark, sf_dir, "documents"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.report(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -89,5 +94,5 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   (not base_failed and not ({" or ".join(out)})) as kept from q"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_ann_search": op2_ann_search, "op3_pii_crf": op3_pii_crf, "op5_quality_rules": op5_quality_rules, "op7_best_fit_packing": op7_best_fit_packing, "op9_lm_scores": op9_lm_scores, "op10_toxicity_pu": op10_toxicity_pu}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_ann_search": op2_ann_search, "op3_pii_crf": op3_pii_crf, "op4_sharding": op4_sharding, "op5_quality_rules": op5_quality_rules, "op7_best_fit_packing": op7_best_fit_packing, "op9_lm_scores": op9_lm_scores, "op10_toxicity_pu": op10_toxicity_pu}
 ORACLES: dict[str, str] = {"op5_quality_rules": _quality_sql()}
