@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytefold.llm import ann, lm, packing, pii, quality, sharding, simhash, toxicity
+from bytefold.llm import ann, lm, mixing, packing, pii, quality, secrets, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +46,34 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    shown = F.expr("concat_ws(',', transform(findings, c -> concat_ws(':', c.at, length(c.value), round(c.score, 3))))")
+    return found.select("doc_id", "n_candidates", F.size("findings").cast("long").alias("n_secrets"), shown.alias("findings"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(_table(spark, sf_dir, "documents"), capacity=2048)
     return placed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+#: Domains are languages; the labelled table names documents whose language is known.
+MIX_TARGETS = {"de": 0.15, "en": 0.55, "es": 0.12, "fr": 0.18}
+
+
+def mix_labels(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    known = _table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return docs.join(known, "doc_id", "left_semi").select("doc_id", "text", F.col("lang").alias("domain"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = mixing.train(mix_labels(spark, sf_dir, docs), MIX_TARGETS)
+    docs = docs.select("doc_id", "text")
+    out = mixing.with_rates(docs, mixing.balance(docs, model, MIX_TARGETS))
+    return out.select("row.doc_id", F.col("tokens").alias("n_tokens"), "domain", "rate", "copies")
+
+
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = lm.held_out("doc_id", 7, 2)
@@ -94,5 +117,5 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   (not base_failed and not ({" or ".join(out)})) as kept from q"""
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_ann_search": op2_ann_search, "op3_pii_crf": op3_pii_crf, "op4_sharding": op4_sharding, "op5_quality_rules": op5_quality_rules, "op7_best_fit_packing": op7_best_fit_packing, "op9_lm_scores": op9_lm_scores, "op10_toxicity_pu": op10_toxicity_pu}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_ann_search": op2_ann_search, "op3_pii_crf": op3_pii_crf, "op4_sharding": op4_sharding, "op5_quality_rules": op5_quality_rules, "op6_secret_scan": op6_secret_scan, "op7_best_fit_packing": op7_best_fit_packing, "op8_mixing": op8_mixing, "op9_lm_scores": op9_lm_scores, "op10_toxicity_pu": op10_toxicity_pu}
 ORACLES: dict[str, str] = {"op5_quality_rules": _quality_sql()}
