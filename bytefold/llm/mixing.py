@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from bytefold.llm import textkit, workspace
 
-LABELLED = 4000
+LABELLED = 2000
 BUCKETS = 1 << 14
 STEPS = 40
 CLOSE = 1e-4
@@ -54,7 +54,7 @@ def _bags(t: textkit.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return doc, key % BUCKETS, n / np.maximum(w.count, 1)[doc], w.count
 
 
-def fit(doc: np.ndarray, bucket: np.ndarray, share: np.ndarray, y: np.ndarray, k: int, steps: int = 200, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def fit(doc: np.ndarray, bucket: np.ndarray, share: np.ndarray, y: np.ndarray, k: int, steps: int = 80, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     w, b = np.zeros((BUCKETS, k)), np.zeros(k)
     gold = np.eye(k)[y]
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
@@ -98,11 +98,15 @@ def rates(p: np.ndarray, m: Model) -> np.ndarray:
     return r
 
 
-def train(labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text: str = "text", domain: str = "domain", most: int = LABELLED) -> Model:
+def train(labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text: str = "text", domain: str = "domain", most: int = LABELLED, known: DataFrame | None = None) -> Model:
+    """labelled: rows with an id, a text and a domain. known: a table of ids; only those rows are learned from."""
     domains = sorted(targets)
     rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.col(domain).alias("domain")).where(F.col("domain").isin(domains) & F.col("id").isNotNull())
     # a small look-up of ids first, so that texts outside the sample are not sorted
-    ids = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
+    ids = rows.select("id").distinct()
+    if known is not None:
+        ids = ids.join(known.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
+    ids = ids.orderBy(F.xxhash64("id"), "id").limit(most)
     rows = rows.join(F.broadcast(workspace.keep(ids.coalesce(1), "labelled")), "id")
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +203,8 @@ def with_rates(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return src.mapInArrow(run, schema)
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text: str = "text", domain: str = "domain", least: float = 0.0) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text: str = "text", domain: str = "domain", least: float = 0.0, known: DataFrame | None = None) -> DataFrame:
     """docs with each row as often as its copies say."""
-    model = balance(docs, train(labelled, targets, id_col, text, domain), targets, text, least)
+    model = balance(docs, train(labelled, targets, id_col, text, domain, known=known), targets, text, least)
     out = with_rates(docs, model, text).where("copies > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -61,14 +61,9 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_TARGETS = {"de": 0.15, "en": 0.55, "es": 0.12, "fr": 0.18}
 
 
-def mix_labels(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    known = _table(spark, sf_dir, "labels").select("doc_id").distinct()
-    return docs.join(known, "doc_id", "left_semi").select("doc_id", "text", F.col("lang").alias("domain"))
-
-
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = mixing.train(mix_labels(spark, sf_dir, docs), MIX_TARGETS)
+    model = mixing.train(docs, MIX_TARGETS, domain="lang", known=_table(spark, sf_dir, "labels"))
     docs = docs.select("doc_id", "text")
     out = mixing.with_rates(docs, mixing.balance(docs, model, MIX_TARGETS))
     return out.select("row.doc_id", F.col("tokens").alias("n_tokens"), "domain", "rate", "copies")
