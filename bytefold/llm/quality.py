@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Frequent function words of English, French, German and Spanish.
@@ -50,71 +50,66 @@ def _sql(text: str) -> str:
     return text.replace("\\", "\\\\").replace("\n", "\\n").replace("\t", "\\t").replace("\r", "\\r").replace("\x0b", "\\u000b").replace("\f", "\\u000c")
 
 
-def metrics(rows: DataFrame) -> DataFrame:
-    """rows (one column of them `_text`, none other of these private names) with `_q`, a struct of counts and ratios."""
-    stops = ", ".join(f"'{w}', '{w.capitalize()}'" for w in STOP_WORDS)
-    body = "coalesce(_text, '')"
-    window = ", ".join(f"_h[i + {k}]" for k in range(WINDOW))
-    out = rows.withColumn("_w", F.expr(f"filter(split({body}, '{_sql(WORD_GAP)}'), w -> w <> '')"))
-    out = out.withColumn("_h", F.expr("transform(_w, w -> xxhash64(w))"))
-    out = out.withColumn("_v", F.expr(f"if(size(_h) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size(_h) - {WINDOW}), i -> xxhash64({window})))"))
+def _let(name: str, value: str, body: str) -> str:
+    """body with `name` bound to value, evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+_COUNTS = {
+    "n_words": "cast(size(w_) as bigint)",
+    "word_chars": f"cast(length(translate(t_, '{_sql(BLANKS)}', '')) as bigint)",
+    "n_symbols": f"cast(length(t_) - length(translate(t_, '{SYMBOLS}', '')) as bigint)",
+    "n_lines": "cast(size(l_) as bigint)",
+    "n_dup_lines": "cast(size(l_) - size(array_distinct(l_)) as bigint)",
+    "n_stop": "cast(size(filter(w_, x -> x in ({stops}))) as bigint)".format(stops=", ".join(f"'{w}', '{w.capitalize()}'" for w in dict.fromkeys(STOP_WORDS))),
+    "n_repeat_words": f"coalesce(aggregate(transform(p_, (p, k) -> if(k = size(p_) - 1, {WINDOW}, least({WINDOW}, p_[least(k + 1, size(p_) - 1)] - p))), 0L, (a, x) -> a + x), 0L)",
+}
+_RATIOS = {
+    "mean_word": ("word_chars", "n_words"),
+    "symbol_ratio": ("n_symbols", "n_words"),
+    "stop_ratio": ("n_stop", "n_words"),
+    "dup_line_ratio": ("n_dup_lines", "n_lines"),
+    "line_words": ("n_words", "n_lines"),
+}
+
+
+def metrics(text: str, body: str | None = None) -> str:
+    """SQL for a struct of a text's counts and ratios, or for `body` over that struct, named q_."""
+    window = ", ".join(f"h_[i + {k}]" for k in range(WINDOW))
+    counts = "struct(" + ", ".join(f"{v} as {k}" for k, v in _COUNTS.items()) + ")"
+    whole = "struct(" + ", ".join([*(f"c_.{k} as {k}" for k in _COUNTS), *(f"if(c_.{b} = 0, 0D, cast(c_.{a} as double) / c_.{b}) as {k}" for k, (a, b) in _RATIOS.items())]) + ")"
+    out = _let("c_", counts, whole if body is None else _let("q_", whole, body))
+    out = _let("l_", f"filter(split(t_, '\\\\n'), x -> length(trim(both '{_sql(BLANKS)}' from x)) > 0)", out)
+    out = _let("p_", "sort_array(transform(filter(s_, (x, k) -> (k > 0 and s_[greatest(k - 1, 0)].h = x.h) or (k < size(s_) - 1 and s_[least(k + 1, size(s_) - 1)].h = x.h)), x -> x.i))", out)
     # only a text in which a window occurs again is sorted
-    out = out.withColumn("_s", F.expr("if(size(array_distinct(_v)) = size(_v), null, sort_array(transform(_v, (h, i) -> struct(h as h, i as i))))"))
-    out = out.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, k) -> (k > 0 and _s[greatest(k - 1, 0)].h = x.h) or (k < size(_s) - 1 and _s[least(k + 1, size(_s) - 1)].h = x.h)), x -> x.i))"))
-    out = out.withColumn("_l", F.expr(f"filter(split({body}, '\\n'), l -> length(trim(both '{_sql(BLANKS)}' from l)) > 0)"))
-    out = out.withColumn(
-        "_c",
-        F.expr(
-            f"""struct(
-            cast(size(_w) as bigint) as n_words,
-            cast(length(translate({body}, '{_sql(BLANKS)}', '')) as bigint) as word_chars,
-            cast(length({body}) - length(translate({body}, '{SYMBOLS}', '')) as bigint) as n_symbols,
-            cast(size(_l) as bigint) as n_lines,
-            cast(size(_l) - size(array_distinct(_l)) as bigint) as n_dup_lines,
-            cast(size(filter(_w, w -> w in ({stops}))) as bigint) as n_stop,
-            coalesce(aggregate(transform(_p, (p, k) -> if(k = size(_p) - 1, {WINDOW}, least({WINDOW}, _p[least(k + 1, size(_p) - 1)] - p))), 0L, (a, x) -> a + x), 0L) as n_repeat_words)"""
-        ),
-    )
-    ratio = lambda a, b: f"if({b} = 0, 0D, cast({a} as double) / {b})"
-    out = out.withColumn(
-        "_q",
-        F.expr(
-            f"""struct(_c.*,
-            {ratio("_c.word_chars", "_c.n_words")} as mean_word,
-            {ratio("_c.n_symbols", "_c.n_words")} as symbol_ratio,
-            {ratio("_c.n_stop", "_c.n_words")} as stop_ratio,
-            {ratio("_c.n_dup_lines", "_c.n_lines")} as dup_line_ratio,
-            {ratio("_c.n_words", "_c.n_lines")} as line_words)"""
-        ),
-    )
-    return out.drop("_w", "_h", "_v", "_s", "_p", "_l", "_c")
-
-
-def base_failed(q: str = "_q") -> Column:
-    return F.expr(f"{q}.n_words < 10 or 100 * {q}.n_repeat_words > 20 * {q}.n_words")
-
-
-def verdict(rules: Sequence[Rule] = RULES, q: str = "_q") -> Column:
-    """True if no rule of the table is broken."""
-    broken = F.lit(False)
+    out = _let("s_", "if(size(array_distinct(v_)) = size(v_), null, sort_array(transform(v_, (h, i) -> struct(h as h, i as i))))", out)
+    out = _let("v_", f"if(size(h_) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size(h_) - {WINDOW}), i -> xxhash64({window})))", out)
+    out = _let("h_", "transform(w_, x -> xxhash64(x))", out)
+    out = _let("w_", f"filter(split(t_, '{_sql(WORD_GAP)}'), x -> x <> '')", out)
+    return _let("t_", f"coalesce({text}, '')", out)
+
+
+BASE_FAILED = "(q_.n_words < 10 or 100 * q_.n_repeat_words > 20 * q_.n_words)"
+
+
+def verdict(rules: Sequence[Rule] = RULES) -> str:
+    """SQL over q_: true if no rule of the table is broken."""
+    broken = []
     for r in rules:
-        value = F.col(f"{q}.{r.metric}")
-        out = F.lit(False)
-        if r.lowest is not None:
-            out = out | (value < r.lowest)
-        if r.highest is not None:
-            out = out | (value > r.highest)
-        broken = broken | (out & (F.col(f"{q}.n_words") >= r.from_words))
-    return ~broken
+        out = [f"q_.{r.metric} {sign} {float(edge)!r}D" for sign, edge in (("<", r.lowest), (">", r.highest)) if edge is not None]
+        if out:
+            broken.append(f"(({' or '.join(out)}) and q_.n_words >= {r.from_words})")
+    return f"not ({' or '.join(broken) or 'false'})"
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """A row for each document: its counts, ratios, base_failed and kept."""
-    q = metrics(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))).withColumn("base_failed", base_failed())
-    return q.select(F.col("_id").alias(id_col), "_q.*", "base_failed", (~F.col("base_failed") & verdict(rules)).alias("kept"))
+    names = [*_COUNTS, *_RATIOS]
+    whole = "struct(" + ", ".join(f"q_.{n} as {n}" for n in names) + f", {BASE_FAILED} as base_failed, not {BASE_FAILED} and {verdict(rules)} as kept)"
+    q = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("_text")).select("_id", F.expr(metrics("_text", whole)).alias("_q"))
+    return q.select(F.col("_id").alias(id_col), "_q.*")
 
 
 def accepted(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The documents that pass, with all their columns as they came."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return metrics(docs.select(row, F.col(text).alias("_text"))).where(~base_failed() & verdict(rules)).select("_row.*")
+    """The documents that pass, with all their columns as they came. One filter, evaluated once a row."""
+    return docs.where(F.expr(metrics(f"cast(`{text}` as string)", f"not {BASE_FAILED} and {verdict(rules)}")))
