@@ -1,6 +1,464 @@
-"""Registered queries: name -> (function, SQL)."""
+"""Registered queries: name -> (function, SQL). One for each operator that the test tables can show."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from bytefold.operators import checks, detection, paths, pixels, relations, text
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# Paths and detection
+
+
+@query(r"select page_id, lower(regexp_extract(url, '\.([^./\\]*)$', 1)) as ext from pages")
+def path_extension(spark, sf):
+    return table(spark, sf, "pages").select("page_id", paths.extension(F.col("url")).alias("ext"))
+
+
+@query(r"""select page_id, regexp_extract(url, '([^/\\]*)$', 1) as name,
+case when regexp_matches(url, '[/\\]') then regexp_replace(url, '[/\\][^/\\]*$', '') else '.' end as dir from pages""")
+def path_split(spark, sf):
+    return table(spark, sf, "pages").select("page_id", paths.filename(F.col("url")).alias("name"), paths.directory(F.col("url")).alias("dir"))
+
+
+@query(r"select page_id, regexp_replace(url, '\.[^./\\]*$', '') || '.md' as path from pages")
+def path_change_ext(spark, sf):
+    return table(spark, sf, "pages").select("page_id", paths.change_extension(F.col("url"), F.lit("md")).alias("path"))
+
+
+_EXT_VALUES = ", ".join("(" + ", ".join(f"'{v}'" for v in e) + ")" for e in detection.EXTENSIONS)
+_CYCLE = "['png','tar','md','nope','CSV','stl','vhd']"
+
+
+@query(f"""with k(ext, extension, category, mime, description) as (values {_EXT_VALUES}),
+p as (select page_id, lower({_CYCLE}[1 + page_id % 7]) as ext from pages)
+select page_id, ext, extension, mime, coalesce(category, 'unknown') as category from p left join k using (ext)""")
+def detect_by_extension(spark, sf):
+    names = _CYCLE.replace("[", "array(").replace("]", ")")
+    p = table(spark, sf, "pages").selectExpr("page_id", f"lower({names}[cast(page_id % 7 as int)]) as ext")
+    return detection.by_extension(p).select("page_id", "ext", "extension", "mime", "category")
+
+
+@query(f"""with k(ext, extension, category, mime, description) as (values {_EXT_VALUES})
+select category, count(*) as n, string_agg(ext, ',' order by ext) as extensions from k group by category""")
+def supported_extensions(spark, sf):
+    return detection.extensions(spark).groupBy("category").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("ext")), ",").alias("extensions"))
+
+
+_MAGIC_SQL = "case " + " ".join(f"when starts_with(h, '{sig}') then '{ext}'" for sig, ext in detection.MAGIC) + " end"
+_HEADS = "array('89504E47', 'FFD8FF', '424D', '47494638', '52494646', '494433', 'FFFB', '4F676753', '664C6143', '504B0304', '25504446', '736F6C696420', '00')"
+
+
+@query(f"""with d as (select doc_id, ['89504E47', 'FFD8FF', '424D', '47494638', '52494646', '494433', 'FFFB', '4F676753', '664C6143', '504B0304', '25504446', '736F6C696420', '00'][1 + doc_id % 13]
+ || hex(encode(substr(text, 1, 8))) as h, ['txt', 'zzz'][1 + doc_id % 2] as ext from documents)
+select doc_id, {_MAGIC_SQL} as magic, coalesce({_MAGIC_SQL}, case when ext = 'txt' then 'txt' end) as detected from d""")
+def detect_by_magic(spark, sf):
+    d = table(spark, sf, "documents").selectExpr("doc_id", f"unhex(concat({_HEADS}[cast(doc_id % 13 as int)], hex(substring(text, 1, 8)))) as content", "array('txt', 'zzz')[cast(doc_id % 2 as int)] as ext")
+    return d.select("doc_id", detection.by_magic("content").alias("magic"), detection.detected("content", "ext").alias("detected"))
+
+
+_PAIRS = [(a, b, f) for f, x in detection.FAMILIES.items() for a in x for b in x] + [(a, b, "disc") for a in detection.DISC for b in detection.DISC if a != b]
+_MATRIX = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _PAIRS)
+
+
+@query(f"""with m(f, t, converter) as (values {_MATRIX}),
+p as (select page_id, ['png','tar','md','iso','obj'][1 + page_id % 5] as f, ['bmp','zip','txt','vhd','stl','jpg'][1 + (page_id // 5) % 6] as t from pages)
+select page_id, f as "from", t as "to", converter from p left join m using (f, t)""")
+def convert_matrix(spark, sf):
+    p = table(spark, sf, "pages").selectExpr("page_id", "array('png','tar','md','iso','obj')[cast(page_id % 5 as int)] as `from`", "array('bmp','zip','txt','vhd','stl','jpg')[cast(page_id div 5 % 6 as int)] as `to`")
+    return p.join(F.broadcast(detection.conversions(spark)), ["from", "to"], "left").select("page_id", "from", "to", "converter")
+
+
+_HEX = "regexp_extract_all(substr(hex(encode({c})), 1, {n}), '..')"
+
+
+@query(f"""with d as (select doc_id, octet_length(encode(text)) as n, {_HEX.format(c='text', n=2048)} as b from documents)
+select doc_id, n > 0 and len(list_filter(b, lambda x: regexp_matches(x, '^([2-6].|7[0-9A-E]|09|0A|0D|[89A-F].)$'))) * 100 // least(1024, greatest(1, n)) > 90 as is_text from d""")
+def sniff_text(spark, sf):
+    d = table(spark, sf, "documents").selectExpr("doc_id", "encode(text, 'UTF-8') as b")
+    return d.select("doc_id", detection.is_text("b").alias("is_text"))
+
+
+_C = lambda code: f"len(list_filter(b, lambda x: x = '{code}'))"
+
+
+@query(f"""with d as (select conv_id, turn, {_HEX.format(c='text', n=2048)} as b from conversations)
+select conv_id, turn, len(b) >= 2 and {_C('0A')} >= 1 and {_C('2C')} + {_C('3B')} + {_C('09')} >= 1 as is_csv,
+case when {_C('09')} > {_C('2C')} and {_C('09')} > {_C('3B')} then chr(9) when {_C('3B')} > {_C('2C')} then ';' else ',' end as delimiter from d""")
+def sniff_delimiter(spark, sf):
+    d = table(spark, sf, "conversations").selectExpr("conv_id", "turn", "encode(text, 'UTF-8') as b")
+    return d.select("conv_id", "turn", detection.is_csv("b").alias("is_csv"), detection.delimiter("b").alias("delimiter"))
+
+
+@query("""with d as (select event_id, props as t from events union all select -1 - doc_id, substr(text, 1, 200) from documents)
+select event_id, regexp_matches(t, '^[ \\t\\n\\r]*[{\\[]') and length(t) >= 2 as is_json,
+length(t) >= 3 and ((contains(t, '[') and contains(t, ']')) or contains(t, '=')) as is_ini,
+length(t) >= 2 and (contains(t, '# ') or contains(t, '**') or contains(t, '__') or contains(t, '* ') or contains(t, '- ') or contains(t, '[') or contains(t, '```')) as is_markdown from d""")
+def sniff_structured(spark, sf):
+    e = table(spark, sf, "events").selectExpr("event_id", "encode(props, 'UTF-8') as b")
+    d = table(spark, sf, "documents").selectExpr("-1 - doc_id as event_id", "encode(substring(text, 1, 200), 'UTF-8') as b")
+    return e.unionByName(d).select("event_id", detection.is_json("b").alias("is_json"), detection.is_ini("b").alias("is_ini"), detection.is_markdown("b").alias("is_markdown"))
+
+
+# Text
+
+_LINES = "string_split(regexp_replace(t, '\\n$', ''), chr(10))"
+_STRIP = f"""case when t = '' then '' else array_to_string(list_transform({_LINES}, lambda l: regexp_replace(regexp_replace(translate(regexp_replace(l, '^#+ ', ''), '*_', ''),
+ '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '^- (.)', '\\1')), chr(10)) || chr(10) end"""
+_MD = "'# ' || source || chr(10) || '- **' || lang || '** _x_ [a](u) [b](v)' || chr(10)"
+
+
+@query(f"with d as (select doc_id, {_MD} || text as t from documents) select doc_id, {_STRIP} as stripped from d")
+def strip_markdown(spark, sf):
+    d = table(spark, sf, "documents").selectExpr("doc_id", f"concat({_MD.replace(' || ', ', ').replace('chr(10)', 'chr(10)')}, text) as t")
+    return d.select("doc_id", text.strip_markdown("t").alias("stripped"))
+
+
+@query(f"""with d as (select lang, source, octet_length(encode(text)) as i, octet_length(encode({_STRIP})) as o, regexp_matches(text, '[#*]') as odd
+ from (select *, text as t from documents))
+select lang, source, count(*) as total, count(*) filter (where not odd) as ok, count(*) filter (where odd) as failed, sum(i)::bigint as in_bytes, sum(o)::bigint as out_bytes,
+round(sum(o) * 100.0::double / sum(i), 1) as percent from d group by lang, source""")
+def batch_summary(spark, sf):
+    d = table(spark, sf, "documents").withColumn("t", F.col("text"))
+    d = d.select("lang", "source", F.octet_length("text").cast("long").alias("i"), F.octet_length(text.strip_markdown("t")).cast("long").alias("o"), F.col("text").rlike("[#*]").alias("odd"))
+    return d.groupBy("lang", "source").agg(F.count("*").alias("total"), F.count_if(~F.col("odd")).alias("ok"), F.count_if("odd").alias("failed"), F.sum("i").alias("in_bytes"), F.sum("o").alias("out_bytes"), F.round(F.sum("o") * 100.0 / F.sum("i"), 1).alias("percent"))
+
+
+_QUOTE = lambda c: f"case when regexp_matches({c}, '[,\"\\n\\r]') then '\"' || replace({c}, '\"', '\"\"') || '\"' else {c} end"
+
+
+@query(f"select conv_id, turn, {_QUOTE('role')} || ',' || {_QUOTE('text')} as line from conversations")
+def csv_encode(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.csv_line([F.col("role"), F.col("text")]).alias("line"))
+
+
+@query("select conv_id, turn, [role, text, ''] as fields from conversations")
+def csv_parse(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(text.csv_line([F.col("role"), F.col("text")]), F.lit(",")).alias("line"))
+    return c.select("conv_id", "turn", text.csv_fields("line").alias("fields"))
+
+
+_INI = "'top = ' || o_orderstatus || chr(10) || '[order]' || chr(10) || 'key = \"' || o_orderkey || '\"' || chr(10) || '; note' || chr(10) || 'key = ' || o_custkey || chr(10) || 'p=' || o_orderpriority || chr(13) || chr(10)"
+
+
+@query("""select o_orderkey, unnest(['', 'order', 'order']) as section, unnest(['top', 'key', 'p']) as name, unnest([o_orderstatus, o_custkey::varchar, o_orderpriority]) as value from orders""")
+def ini_parse(spark, sf):
+    o = table(spark, sf, "orders").selectExpr("o_orderkey", f"{_INI} as c")
+    return text.ini_entries(o, "o_orderkey", "c")
+
+
+@query("""select o_orderkey, 'top = ' || o_orderstatus || chr(10) || chr(10) || '[order]' || chr(10) || 'key = ' || o_custkey || chr(10) || 'p = ' || o_orderpriority || chr(10) as content from orders""")
+def ini_encode(spark, sf):
+    o = table(spark, sf, "orders").selectExpr("o_orderkey", f"{_INI} as c")
+    return text.ini_text(text.ini_entries(o, "o_orderkey", "c"), "o_orderkey")
+
+
+@query("""select event_id, '{"a":' || cast(event_id * 100 as varchar) || ',"k":' || json_extract_string(props, '$.k') || '}' as canonical from events""")
+def json_canonical(spark, sf):
+    e = table(spark, sf, "events").selectExpr("event_id", "concat('{\"k\": ', get_json_object(props, '$.k'), ', \"a\": ', event_id, 'e2} tail') as t")
+    return e.select("event_id", text.json_canonical()("t").alias("canonical"))
+
+
+# Checksums and numbers
+
+_BYTES = "list_transform(range(1, octet_length({x}) + 1), lambda i: ('0x' || substr(hex({x}), (2 * i - 1)::int, 2))::bigint)"
+
+
+@query(f"""with tbl as (select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n) order by n) as t from range(256) r(n)),
+d as (select p_partkey, encode(p_name) as x from part)
+select p_partkey, xor(list_reduce({_BYTES.format(x='x')}, lambda a, y: xor(t[(xor(a, y) & 255) + 1], a >> 8), 4294967295::bigint), 4294967295::bigint) as crc from d, tbl""")
+def crc32_text(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", checks.crc32("encode(p_name, 'UTF-8')").alias("crc"))
+
+
+@query(f"""with tbl as (select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 40961) else c >> 1 end, n) order by n) as t from range(256) r(n)),
+d as (select p_partkey, encode(p_name) as x from part)
+select p_partkey, list_reduce({_BYTES.format(x='x')}, lambda a, y: xor(t[(xor(a, y) & 255) + 1], a >> 8), 65535::bigint) as crc from d, tbl""")
+def crc16_text(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", checks.crc16("encode(p_name, 'UTF-8')").cast("long").alias("crc"))
+
+
+@query(f"""with d as (select c_custkey, encode(rpad(substr(upper(c_name), 1, 8), 8, ' ') || '   ') as x from customer)
+select c_custkey, list_reduce({_BYTES.format(x='x')}, lambda a, y: ((case when a & 1 = 1 then 128 else 0 end) + (a >> 1) + y) & 255, 0::bigint) as lfn,
+4294967295 - list_sum({_BYTES.format(x='x')})::bigint as complement from d""")
+def lfn_checksum(spark, sf):
+    d = table(spark, sf, "customer").select("c_custkey", F.encode(checks.fat_name(F.col("c_name")), "UTF-8").alias("x"))
+    return d.select("c_custkey", checks.lfn_checksum("x").cast("long").alias("lfn"), checks.ones_complement_sum("x").alias("complement"))
+
+
+@query(f"""with d as (select s_suppkey, encode(rpad(s_name, 512, 'x')) as x from supplier)
+select s_suppkey, list_sum({_BYTES.format(x='x')})::bigint - 8 * 120 + 8 * 32 as checksum from d""")
+def tar_checksum(spark, sf):
+    d = table(spark, sf, "supplier").selectExpr("s_suppkey", "encode(rpad(s_name, 512, 'x'), 'UTF-8') as x")
+    return d.select("s_suppkey", checks.tar_checksum("x").cast("long").alias("checksum"))
+
+
+@query("""select o_orderkey, format('{:o}', o_custkey) as octal, o_custkey as decimal_value,
+(((year(o_orderdate) - 1980) * 512 + month(o_orderdate) * 32 + day(o_orderdate)) * 65536 + hour(o_orderdate) * 2048 + minute(o_orderdate) * 32 + second(o_orderdate) // 2)::bigint as dos_time from orders""")
+def header_fields(spark, sf):
+    o = table(spark, sf, "orders")
+    octal = checks.octal(F.col("o_custkey"))
+    return o.select("o_orderkey", octal.alias("octal"), checks.from_octal(octal).alias("decimal_value"), checks.dos_time(F.col("o_orderdate")).alias("dos_time"))
+
+
+@query("""with s as (select o_orderkey, least(o_orderkey * 30011 * 512 // 512, 65535 * 16 * 255::bigint) as t from orders),
+a as (select *, greatest(4, (t // 17 + 1023) // 1024) as h from s)
+select o_orderkey, case when t >= 65535::bigint * 16 * 63 then t // 4080 when t // 17 < h * 1024 and h <= 16 then t // 17 // h when t // 31 < 16384 then t // 31 // 16 else t // 63 // 16 end as cylinders,
+case when t >= 65535::bigint * 16 * 63 then 16 when t // 17 < h * 1024 and h <= 16 then h else 16 end as heads,
+case when t >= 65535::bigint * 16 * 63 then 255 when t // 17 < h * 1024 and h <= 16 then 17 when t // 31 < 16384 then 31 else 63 end as sectors from a""")
+def vhd_geometry(spark, sf):
+    o = table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderkey * 30011 * 512 as size")
+    return o.select("o_orderkey", checks.vhd_geometry("size").alias("g")).selectExpr("o_orderkey", "g.cylinders", "g.heads", "g.sectors")
+
+
+@query("""select o_orderkey, (o_orderkey % 80 * 60 + o_orderkey % 60) * 75 + o_orderkey % 75 as frames,
+lpad((o_orderkey // 4500)::varchar, greatest(2, length((o_orderkey // 4500)::varchar))::int, '0') || ':' || lpad((o_orderkey // 75 % 60)::varchar, 2, '0') || ':' || lpad((o_orderkey % 75)::varchar, 2, '0') as msf from orders""")
+def msf_frames(spark, sf):
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select("o_orderkey", checks.msf_frames(k % 80, k % 60, k % 75).alias("frames"), checks.frames_msf("o_orderkey").alias("msf"))
+
+
+@query("""select o_orderkey, greatest(10, least(o_orderkey, 900)) as clamped, round(o_totalprice + (1000 - o_totalprice) * 0.25::double, 4) as lerped,
+round(o_totalprice / 1000 * 64, 4) as mapped, case when o_orderkey % 5 = 0 then 0 else o_custkey // (o_orderkey % 5) end as divided, gcd(o_orderkey, o_custkey)::bigint as gcd, (lcm(o_orderkey, o_custkey) % 4294967296)::bigint as lcm,
+bit_count(o_orderkey) = 1 as pow2, case when o_orderkey <= 1 then 1 else (1::bigint << length(bin(o_orderkey - 1)))::bigint end as next_pow2 from orders where o_orderkey > 0""")
+def math_utils(spark, sf):
+    o = table(spark, sf, "orders").where("o_orderkey > 0")
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    return o.select("o_orderkey", checks.clamp(k, F.lit(10), F.lit(900)).alias("clamped"), F.round(checks.lerp(p, F.lit(1000), F.lit(0.25)), 4).alias("lerped"), F.round(checks.map_range(p, F.lit(0), F.lit(1000), F.lit(0), F.lit(64)), 4).alias("mapped"), checks.safe_div("o_custkey", "o_orderkey % 5").alias("divided"), F.expr(checks.gcd("o_orderkey", "o_custkey")).alias("gcd"), checks.lcm("o_orderkey", "o_custkey").alias("lcm"), checks.is_power_of_2(k).alias("pow2"), checks.next_power_of_2("o_orderkey").alias("next_pow2"))
+
+
+@query(r"""with d as (select part.p_partkey as id, p_name || '.txt' as n from part),
+f as (select id, n, upper(regexp_replace(n, '\.[^.]*$', '')) as b from d)
+select id, regexp_replace(upper(n), '[^A-Z0-9_.]', '_', 'g') || ';1' as iso, rpad(substr(b, 1, 8), 8, ' ') || 'TXT' as fat, regexp_extract(substr(b, 1, 8), '^[^ ]*') || '.TXT' as decoded from f""")
+def disc_names(spark, sf):
+    d = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(".txt")).alias("n"))
+    fat = checks.fat_name(F.col("n"))
+    return d.select("id", checks.iso_name(F.col("n")).alias("iso"), fat.alias("fat"), checks.fat_decoded(fat).alias("decoded"))
+
+
+# Pixels: a 64 x 64 gradient
+
+_GRADIENT = "select 0 as image_id, (i // 64)::int as y, (i % 64)::int as x, c::int as c, (case c when 0 then (i % 64) * 255 // 64 when 1 then (i // 64) * 255 // 64 else (i % 64 + i // 64) * 255 // 128 end)::int as v from range(4096) a(i), range(3) b(c)"
+
+
+def gradient(spark: SparkSession) -> DataFrame:
+    g = spark.range(4096).selectExpr("0 as image_id", "cast(id div 64 as int) as y", "cast(id % 64 as int) as x", "explode(array(0, 1, 2)) as c")
+    return g.selectExpr("*", "cast(case c when 0 then x * 255 div 64 when 1 then y * 255 div 64 else (x + y) * 255 div 128 end as int) as v")
+
+
+def _gray(spark: SparkSession) -> DataFrame:
+    wide = gradient(spark).groupBy("image_id", "y", "x").agg(*[F.max(F.when(F.col("c") == i, F.col("v"))).alias(n) for i, n in enumerate("rgb")])
+    return wide.select("image_id", "y", "x", pixels.gray(F.col("r"), F.col("g"), F.col("b")).alias("gray"))
+
+
+_GRAY = f"with p as ({_GRADIENT}), w as (select y, x, max(v) filter (where c = 0) as r, max(v) filter (where c = 1) as g, max(v) filter (where c = 2) as b from p group by y, x), q as (select y, x, trunc(0.299::double * r + 0.587::double * g + 0.114::double * b)::int as gray from w)"
+
+
+@query(f"{_GRAY} select y, x, gray, gray < 128 as black from q")
+def gray_threshold(spark, sf):
+    return _gray(spark).select("y", "x", "gray", (F.col("gray") < 128).alias("black"))
+
+
+@query(f"{_GRAY} select y, (x // 8)::int as byte_no, bit_or(case when gray < 128 then 1 << (7 - x % 8) else 0 end)::int as bits from q group by y, x // 8")
+def pbm_pack(spark, sf):
+    return pixels.threshold_bits(_gray(spark)).select("y", "byte_no", "bits")
+
+
+def _moved(name: str, change, at: str) -> None:
+    def run(spark, sf):
+        return change(gradient(spark)).select("y", "x", "c", "v")
+
+    run.__name__ = name
+    query(f"with p as ({_GRADIENT}) select {at}, c, v from p")(run)
+
+
+_moved("flip_h", lambda d: pixels.flip(d, width="64"), "y, 63 - x as x")
+_moved("flip_v", lambda d: pixels.flip(d, height="64"), "63 - y as y, x")
+_moved("rotate_90", lambda d: pixels.rotate(d, 90, "64", "64"), "x as y, 63 - y as x")
+_moved("rotate_180", lambda d: pixels.rotate(d, 180, "64", "64"), "63 - y as y, 63 - x as x")
+_moved("rotate_270", lambda d: pixels.rotate(d, -90, "64", "64"), "63 - x as y, y as x")
+
+_GRID = "select y::int as y, x::int as x from range(30) a(y), range(48) b(x)"
+
+
+@query(f"""with p as ({_GRADIENT}), g as ({_GRID}), s as (select y, x, least(trunc(y::float * (64::float / 30::float))::int, 63) as sy, least(trunc(x::float * (64::float / 48::float))::int, 63) as sx from g)
+select s.y, s.x, p.c, p.v from s join p on p.y = s.sy and p.x = s.sx""")
+def resize_nearest(spark, sf):
+    return pixels.nearest(gradient(spark), 64, 64, 48, 30).select("y", "x", "c", "v")
+
+
+_SRC = f"g as ({_GRID}), f as (select y, x, x::float * (63::float / 48::float) as fx, y::float * (63::float / 30::float) as fy from g), s as (select *, trunc(fx)::int as x0, trunc(fy)::int as y0 from f)"
+
+
+@query(f"""with p as ({_GRADIENT}), {_SRC},
+q as (select s.*, a.c, a.v::float as p11, b.v::float as p21, d.v::float as p12, e.v::float as p22 from s join p a on a.y = y0 and a.x = x0 join p b on b.y = y0 and b.x = least(x0 + 1, 63) and b.c = a.c
+ join p d on d.y = least(y0 + 1, 63) and d.x = x0 and d.c = a.c join p e on e.y = least(y0 + 1, 63) and e.x = least(x0 + 1, 63) and e.c = a.c),
+r as (select y, x, c, p11 + (p21 - p11) * (fx - x0::float) as c1, p12 + (p22 - p12) * (fx - x0::float) as c2, fy - y0::float as t from q)
+select y, x, c, greatest(0, least(255, trunc(c1 + (c2 - c1) * t)::int)) as v from r""")
+def resize_bilinear(spark, sf):
+    return pixels.bilinear(gradient(spark), 64, 64, 48, 30).select("y", "x", "c", "v")
+
+
+_K = lambda t: f"case when abs({t}) <= 1 then 1.5::double * abs({t}) ** 3 - 2.5::double * abs({t}) ** 2 + 1 when abs({t}) < 2 then -0.5::double * abs({t}) ** 3 + 2.5::double * abs({t}) ** 2 - 4 * abs({t}) + 2 else 0 end"
+
+
+@query(f"""with p as ({_GRADIENT}), {_SRC},
+n as (select s.y, s.x, greatest(0, least(63, x0 + i)) as sx, greatest(0, least(63, y0 + j)) as sy, ({_K('(fx - (x0 + i)::float)::double')}) * ({_K('(fy - (y0 + j)::float)::double')}) as k from s, range(-1, 3) a(i), range(-1, 3) b(j)),
+r as (select n.y, n.x, p.c, sum(p.v * k) / sum(k) as s from n join p on p.y = sy and p.x = sx group by n.y, n.x, p.c)
+select y, x, c, greatest(0, least(255, trunc(round(s, 6))::int)) as v from r""")
+def resize_bicubic(spark, sf):
+    return pixels.bicubic(gradient(spark), 64, 64, 48, 30).select("y", "x", "c", "v")
+
+
+@query("""with d as (select p_partkey, (1 + p_size)::int as w, (1 + p_partkey % 37)::int as h, (5 + p_partkey % 11)::int as nw, (7 + p_partkey % 13)::int as nh from part),
+a as (select *, w::float / h::float as asp, nw::float / nh::float as t from d)
+select p_partkey, case when t > asp then greatest(1, trunc(nh::float * asp)::int) else nw end as w, case when t > asp then nh else greatest(1, trunc(nw::float / asp)::int) end as h from a""")
+def fit_box(spark, sf):
+    p = table(spark, sf, "part").selectExpr("p_partkey", "1 + p_size as w", "cast(1 + p_partkey % 37 as int) as h", "cast(5 + p_partkey % 11 as int) as nw", "cast(7 + p_partkey % 13 as int) as nh")
+    return p.select("p_partkey", pixels.fit_box("w", "h", "nw", "nh").alias("b")).selectExpr("p_partkey", "b.w", "b.h")
+
+
+@query(f"with p as ({_GRADIENT}) select y, x, c, (sum(v) over (partition by x, c order by y) % 256)::int as v from p")
+def png_unfilter_up(spark, sf):
+    return pixels.unfilter_up(gradient(spark)).select("y", "x", "c", "v")
+
+
+@query(f"with p as ({_GRADIENT}) select y, x, c, (sum(v) over (partition by y, c order by x) % 256)::int as v from p")
+def png_unfilter_sub(spark, sf):
+    return pixels.unfilter_sub(gradient(spark)).select("y", "x", "c", "v")
+
+
+@query("""with m as (select user_id, event_id, event_type, case when event_type is distinct from lag(event_type) over (partition by user_id order by event_id) or row_number() over (partition by user_id order by event_id) = 1 then 1 else 0 end as new from events),
+r as (select *, sum(new) over (partition by user_id order by event_id) as run from m)
+select user_id, run::bigint as run, min(event_id) as first, count(*) as n, min(event_type) as event_type from r group by user_id, run""")
+def rle_runs(spark, sf):
+    return pixels.runs(table(spark, sf, "events"), "user_id", "event_id", "event_type")
+
+
+# Audio
+
+
+def _samples(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    line = Window.partitionBy("audio_id").orderBy("event_id")
+    e = e.selectExpr("event_id % 8 as audio_id", "event_id", "cast(floor(value * 100) % 20000 as int) as v")
+    e = e.withColumn("frame", (F.row_number().over(line) - 1).cast("long"))
+    return e.selectExpr("audio_id", "frame", "explode(array(struct(0 as ch, v as v), struct(1 as ch, 100 - v as v))) as s").selectExpr("audio_id", "frame", "s.ch", "s.v")
+
+
+_SAMPLES = "e as (select event_id % 8 as audio_id, (floor(value * 100) % 20000)::int as v, row_number() over (partition by event_id % 8 order by event_id) - 1 as frame from events), s as (select audio_id, frame, 0 as ch, v from e union all select audio_id, frame, 1, 100 - v from e)"
+
+
+@query(f"""with {_SAMPLES}, l as (select audio_id, ch, max(frame) as last from s group by audio_id, ch),
+o as (select audio_id, ch, last, unnest(range(0, floor((last + 1) * (32000::double / 44100::double))::bigint)) as frame from l),
+p as (select *, frame / (32000::double / 44100::double) as pos from o), q as (select *, floor(pos)::bigint as a, least(floor(pos)::bigint + 1, last) as b from p)
+select q.audio_id, q.frame, q.ch, trunc(x.v + (y.v - x.v) * (pos - a))::int as v from q join s x on x.audio_id = q.audio_id and x.ch = q.ch and x.frame = a join s y on y.audio_id = q.audio_id and y.ch = q.ch and y.frame = b""")
+def resample(spark, sf):
+    return relations.resample(_samples(spark, sf), 44100, 32000)
+
+
+@query(f"with {_SAMPLES} select audio_id, frame, 0 as ch, trunc(sum(v) / 2.0)::int as v from s group by audio_id, frame")
+def stereo_to_mono(spark, sf):
+    return relations.to_mono(_samples(spark, sf))
+
+
+@query(f"with {_SAMPLES} select audio_id, count(*) / 2 as frames, round(count(*) / 2 / 44100.0::double, 6) as seconds from s group by audio_id")
+def duration(spark, sf):
+    n = _samples(spark, sf).where("ch = 0").groupBy("audio_id").agg(F.count("*").cast("double").alias("frames"))
+    return n.select("audio_id", "frames", F.round(relations.duration(F.col("frames"), F.lit(44100)), 6).alias("seconds"))
+
+
+# Layouts, blocks, meshes, trees
+
+
+@query("""select l_orderkey, l_linenumber, o as offset, coalesce(lead(o) over (partition by l_orderkey order by l_linenumber), total) - o as size from (
+select l_orderkey, l_linenumber, l_linenumber * 1000 + l_orderkey % 7 as o, 100000::bigint as total from lineitem)""")
+def track_sizes(spark, sf):
+    t = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_linenumber * 1000 + l_orderkey % 7 as offset", "100000L as total")
+    return relations.track_sizes(t, "l_orderkey", "l_linenumber", "offset", "total").drop("total")
+
+
+@query("""select l_orderkey, l_linenumber, 18 + coalesce(sum(ceil(l_extendedprice / 2048)::bigint) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice rows between unbounded preceding and 1 preceding), 0)::bigint as sector from lineitem""")
+def extent_layout(spark, sf):
+    size = F.ceil(F.col("l_extendedprice") / 2048)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", relations.starts(size, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], 18).alias("sector"))
+
+
+@query("""with b as (select doc_id // 100 as disk, doc_id % 100 as block, n_chars % 3 = 0 as zero, octet_length(encode(text)) as raw, n_chars // 2 + doc_id % 900 as packed from documents)
+select disk, block, row_number() over (partition by disk order by block) - 1 as slot, coalesce(sum(least(raw, packed)) over (partition by disk order by block rows between unbounded preceding and 1 preceding), 0)::bigint as offset from b where not zero""")
+def sparse_layout(spark, sf):
+    b = table(spark, sf, "documents").selectExpr("doc_id div 100 as disk", "doc_id % 100 as block", "n_chars % 3 = 0 as zero", "octet_length(text) as raw", "n_chars div 2 + doc_id % 900 as packed")
+    kept = relations.sparse_blocks(b, "disk", "block", F.col("zero"))
+    both = kept.join(b, ["disk", "block"])
+    return both.select("disk", "block", F.col("slot").cast("long").alias("slot"), relations.starts(relations.stored(F.col("raw"), F.col("packed")), ["disk"], ["block"]).alias("offset"))
+
+
+_TRI = "select vec_id, t, [embedding[9*t+1], embedding[9*t+2], embedding[9*t+3]] as a, [embedding[9*t+4], embedding[9*t+5], embedding[9*t+6]] as b, [embedding[9*t+7], embedding[9*t+8], embedding[9*t+9]] as c from embeddings, range(7) r(t)"
+
+
+@query(f"""with t as ({_TRI}), d as (select vec_id, t, list_transform([1,2,3], lambda i: b[i]::double - a[i]::double) as u, list_transform([1,2,3], lambda i: c[i]::double - a[i]::double) as v from t),
+n as (select vec_id, t, u[2]*v[3]-u[3]*v[2] as x, u[3]*v[1]-u[1]*v[3] as y, u[1]*v[2]-u[2]*v[1] as z from d), s as (select *, sqrt(x*x+y*y+z*z) as l from n)
+select vec_id, t::int as tri, round(case when l < 1e-6 then 0 else x / l end, 6) as nx, round(case when l < 1e-6 then 0 else y / l end, 6) as ny, round(case when l < 1e-6 then 0 else z / l end, 6) as nz from s""")
+def face_normals(spark, sf):
+    e = table(spark, sf, "embeddings").selectExpr("vec_id", "embedding as e", "explode(sequence(0, 6)) as tri")
+    corner = lambda k: f"struct(cast(e[9 * tri + {k}] as double) as x, cast(e[9 * tri + {k + 1}] as double) as y, cast(e[9 * tri + {k + 2}] as double) as z)"
+    t = e.selectExpr("vec_id", "tri", f"{corner(0)} as a", f"{corner(3)} as b", f"{corner(6)} as c").select("vec_id", "tri", relations.face_normal("a", "b", "c").alias("n"))
+    return t.selectExpr("vec_id", "tri", "round(n.x, 6) as nx", "round(n.y, 6) as ny", "round(n.z, 6) as nz")
+
+
+@query("""with f as (select p_partkey, range(0, 3 + p_size % 5) as x from part), t as (select p_partkey, x, unnest(range(1, len(x) - 1)) as tri from f)
+select p_partkey, tri::int as tri, x[1]::int as a, x[tri + 1]::int as b, x[tri + 2]::int as c from t""")
+def fan_triangulate(spark, sf):
+    f = table(spark, sf, "part").selectExpr("p_partkey", "sequence(0, 2 + p_size % 5) as x")
+    return relations.fan(f, "p_partkey", "x")
+
+
+@query("""with v as (select vec_id % 5 as mesh, vec_id, round(round(embedding[1]::double, 1) / 1e-5)::bigint as x, round(round(embedding[2]::double, 1) / 1e-5)::bigint as y, 0 as z from embeddings)
+select mesh, vec_id, dense_rank() over (partition by mesh order by x, y, z) as vertex from v""")
+def vertex_dedup(spark, sf):
+    v = table(spark, sf, "embeddings").selectExpr("vec_id % 5 as mesh", "vec_id", "round(cast(embedding[0] as double), 1) as x", "round(cast(embedding[1] as double), 1) as y", "0D as z")
+    return relations.distinct_vertices(v, "mesh").select("mesh", "vec_id", F.col("vertex").cast("long").alias("vertex"))
+
+
+_FAT = "select i.id as image_id, 2 + r.id as cluster, case when r.id % 10 = 9 then 268435455L else 3 + r.id end as next"
+
+
+@query("""with recursive fat as (select i as image_id, 2 + k as cluster, case when k % 10 = 9 then 268435455 else 3 + k end as next from range(5) a(i), range(100) b(k)),
+w(image_id, cluster, depth) as (select i, 2 + i * 10, 0 from range(5) a(i) union all select w.image_id, e.next, w.depth + 1 from w join fat e on e.image_id = w.image_id and e.cluster = w.cluster where e.next between 2 and 268435446)
+select image_id, depth, cluster from w""")
+def cluster_chain(spark, sf):
+    spark.sql(f"{_FAT} from range(5) i, range(100) r").createOrReplaceTempView("bytefold_fat")
+    spark.sql("select id as image_id, 2 + id * 10 as cluster from range(5)").createOrReplaceTempView("bytefold_starts")
+    return relations.chain(spark, "bytefold_fat", "bytefold_starts")
+
+
+@query("""select 'r' || r_regionkey as id, r_name || '/' as path from region union all select 'n' || n_nationkey, r_name || '/' || n_name from nation join region on n_regionkey = r_regionkey""")
+def tree_paths(spark, sf):
+    r = table(spark, sf, "region").selectExpr("concat('r', r_regionkey) as id", "cast(null as string) as parent", "r_name as name", "true as is_dir")
+    n = table(spark, sf, "nation").selectExpr("concat('n', n_nationkey) as id", "concat('r', n_regionkey) as parent", "n_name as name", "false as is_dir")
+    r.unionByName(n).createOrReplaceTempView("bytefold_nodes")
+    return relations.tree_paths(spark, "bytefold_nodes")
+
+
+@query("""select o_orderkey, case when o_orderkey * 7 < 12 then 0 when o_orderkey * 7 < 12 + 256 then 1 when o_orderkey * 7 < 12 + 256 + 65536 then 2 else 3 end as level from orders""")
+def indirect_blocks(spark, sf):
+    return table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderkey * 7 as b").select("o_orderkey", relations.indirect("b", 256).alias("level"))
