@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -462,3 +463,99 @@ def tree_paths(spark, sf):
 @query("""select o_orderkey, case when o_orderkey * 7 < 12 then 0 when o_orderkey * 7 < 12 + 256 then 1 when o_orderkey * 7 < 12 + 256 + 65536 then 2 else 3 end as level from orders""")
 def indirect_blocks(spark, sf):
     return table(spark, sf, "orders").selectExpr("o_orderkey", "o_orderkey * 7 as b").select("o_orderkey", relations.indirect("b", 256).alias("level"))
+
+
+# Codecs: files made from rows, converted in one Arrow pass
+
+
+def _converted(df: DataFrame, to: str, **more) -> DataFrame:
+    from bytefold.plans.convert import Params, convert_files
+
+    done = convert_files(df, to, Params(**more))
+    return done.select("path", "out_path", "error", "in_size", "out_size", F.crc32("content").alias("crc"))
+
+
+_HEAD = "'50360A3332203234200A3235350A'"  # a P6 header for 32 x 24 pixels
+
+
+def _ppm(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").where("octet_length(text) >= 2304")
+    return d.selectExpr("concat('d', doc_id, '.ppm') as path", f"unhex(concat({_HEAD}, hex(substring(encode(text, 'UTF-8'), 1, 2304)))) as content")
+
+
+@query("""select 'd' || doc_id || '.ppm' as path, 'd' || doc_id || '.bmp' as out_path, null::varchar as error, 2318::bigint as in_size, (54 + 32 * 3 * 24)::bigint as out_size from documents where octet_length(encode(text)) >= 2304""")
+def image_convert(spark, sf):
+    return _converted(_ppm(spark, sf), "bmp").drop("crc")
+
+
+@query()
+def image_resize_png(spark, sf):
+    return _converted(_ppm(spark, sf), "png", width=16, height=16, degrees=90, method="bicubic").select("path", "out_path", "error", "in_size")
+
+
+@query("""select 'c' || conv_id || '.txt' as name, count(*) as entries, sum(octet_length(encode(text)))::bigint as bytes from conversations group by conv_id""")
+def archive_repack(spark, sf):
+    """Conversations as zip files, repacked to tar.gz and listed again."""
+    from bytefold.functions import codecs
+
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+
+    @F.pandas_udf("struct<entries: bigint, bytes: bigint>")
+    def repack(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for turns in s:
+            z = codecs.zip_encode([codecs.Entry(f"{t['turn']}.txt", t["text"].encode()) for t in turns])
+            got = codecs.tar_decode(codecs.gzip_decode(codecs.archive_convert(z, "zip", "tgz")))
+            out.append((len(got), sum(len(e.data) for e in got)))
+        return pd.DataFrame(out, columns=["entries", "bytes"])
+
+    return c.select(F.concat(F.lit("c"), "conv_id", F.lit(".txt")).alias("name"), repack("turns").alias("r")).select("name", "r.*")
+
+
+@query("""select doc_id, octet_length(encode(text)) as size, true as same from documents""")
+def compression_roundtrip(spark, sf):
+    from bytefold.functions import codecs, disks
+
+    @F.pandas_udf("boolean")
+    def same(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: (b := t.encode()) == codecs.gzip_decode(codecs.gzip_encode(b)) == disks.chd_decode(disks.chd_encode(b, 4096)) == disks.vhd_decode(disks.vhd_encode(b, True, block=8192))[: len(b)])
+
+    return table(spark, sf, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"), same("text").alias("same"))
+
+
+@query()
+def disc_trees(spark, sf):
+    """Each source's documents as an ISO volume, listed again."""
+    from bytefold.functions import disks
+
+    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = [(f"{r.lang}/D{r.doc_id}.TXT", False, r.text.encode()) for r in pdf.itertuples()]
+        got = [(p, len(d)) for p, is_dir, d in disks.iso_decode(disks.iso_encode(tree)) if not is_dir]
+        return pd.DataFrame({"source": key[0], "path": [p for p, _ in got], "size": [n for _, n in got]})
+
+    # a volume holds at most 200 documents, so a common source is many volumes
+    d = table(spark, sf, "documents").withColumn("volume", F.expr("doc_id div 200"))
+    return d.groupBy("source", "volume").applyInPandas(build, "source string, path string, size long")
+
+
+ORACLES["disc_trees"] = "select source, upper(lang) || '/D' || doc_id || '.TXT' as path, octet_length(encode(text)) as size from documents"
+
+
+@query("""select vec_id, 7 as triangles, 684 - 5 * 50 as stl_bytes from embeddings""")
+def mesh_convert(spark, sf):
+    """Seven triangles of each vector as binary STL, to OBJ and back."""
+    from bytefold.functions import codecs
+
+    @F.pandas_udf("struct<triangles: int, stl_bytes: int>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        import numpy as np
+
+        out = []
+        for e in s:
+            v = np.asarray(e, np.float32)[:63].reshape(7, 3, 3)
+            m = codecs.Mesh("m", np.concatenate([codecs._normals(v)[:, None], v], axis=1))
+            again = codecs.obj_decode(codecs.obj_encode(codecs.stl_decode(codecs.stl_encode(m, False))))
+            out.append((len(again.triangles), len(codecs.stl_encode(m, False))))
+        return pd.DataFrame(out, columns=["triangles", "stl_bytes"])
+
+    return table(spark, sf, "embeddings").select("vec_id", run("embedding").alias("r")).select("vec_id", "r.*")
