@@ -195,10 +195,78 @@ def is_markdown(content: str) -> Column:
 
 def disc_format(content: str) -> Column:
     """ISO, CUE, BIN, VHD or CHD by content, in that order; null if none."""
-    iso = f"hex(substring({content}, 32770, 5)) = '4344303031'"
+    iso = f"length({content}) >= 34816 and hex(substring({content}, 32769, 6)) = '014344303031'"
     head = f"upper(cast(substring({content}, 1, 256) as string))"
     cue = f"length({content}) >= 10 and instr({head}, 'FILE') > 0 and (instr({head}, 'TRACK') > 0 or instr({head}, 'BINARY') > 0)"
     raw = f"hex(substring({content}, 1, 12)) = '00FFFFFFFFFFFFFFFFFFFF00'"
-    vhd = f"hex(substring({content}, length({content}) - 511, 8)) = '636F6E6563746978' or hex(substring({content}, 1, 8)) = '636F6E6563746978'"
+    vhd = f"hex(substring({content}, length({content}) - 511, 8)) = '636F6E6563746978'"
     chd = f"hex(substring({content}, 1, 8)) = '4D436F6D70724844'"
     return F.expr(f"case when {iso} then 'iso' when {cue} then 'cue' when {raw} then 'bin' when {vhd} then 'vhd' when {chd} then 'chd' end")
+
+
+def _starts(content: str, *heads: str) -> str:
+    return "(" + " or ".join(f"hex(substring({content}, 1, {len(h) // 2})) = '{h}'" for h in heads) + ")"
+
+
+def is_obj(content: str) -> Column:
+    return F.expr(f"length({content}) >= 2 and {_head(content, 100)} rlike '^(..)*?(7620|766E20|767420|6620)'")
+
+
+def is_stl(content: str) -> Column:
+    little = ", ".join(f"hex(substring({content}, {i}, 1))" for i in (84, 83, 82, 81))
+    count = f"cast(conv(concat({little}), 16, 10) as bigint)"
+    return F.expr(f"length({content}) >= 6 and ({_starts(content, '736F6C6964')} or (length({content}) >= 84 and length({content}) = 84 + 50 * {count}))")
+
+
+def is_netpbm(content: str) -> Column:
+    return F.expr(f"{_head(content, 2)} rlike '^503[1-6]$'")
+
+
+def is_wav(content: str) -> Column:
+    return F.expr(f"length({content}) >= 12 and {_starts(content, '52494646')} and hex(substring({content}, 9, 4)) = '57415645'")
+
+
+def is_gzip(content: str) -> Column:
+    return F.expr(f"length({content}) >= 10 and {_starts(content, '1F8B')}")
+
+
+def is_zip(content: str) -> Column:
+    return F.expr(_starts(content, "504B0304", "504B0506"))
+
+
+def is_tar(content: str) -> Column:
+    """The ustar mark, or a header whose stored checksum is right."""
+    from bytefold.operators import checks
+
+    stored = F.expr(f"cast(conv(nullif(regexp_extract(cast(substring({content}, 149, 8) as string), '[0-7]+', 0), ''), 8, 10) as bigint)")
+    right = checks.tar_checksum(f"substring({content}, 1, 512)") == F.coalesce(stored, F.lit(0))
+    return (F.length(content) >= 512) & (F.expr(f"hex(substring({content}, 258, 5)) = '7573746172'") | right)
+
+
+def is_fat32(content: str) -> Column:
+    return F.expr(f"length({content}) >= 512 and hex(substring({content}, 511, 2)) = '55AA' and hex(substring({content}, 23, 2)) = '0000' and instr(cast(substring({content}, 83, 8) as string), 'FAT32') > 0")
+
+
+def is_ext2(content: str) -> Column:
+    return F.expr(f"length({content}) >= 2048 and hex(substring({content}, 1081, 2)) = '53EF'")
+
+
+# Display names of disc formats.
+DISC_NAMES = {
+    "iso": "ISO 9660",
+    "bin": "BIN/CUE",
+    "cue": "CUE Sheet",
+    "vhd": "VHD",
+    "chd": "CHD",
+    "vmdk": "VMDK",
+    "vdi": "VDI",
+    "qcow2": "QCOW2",
+    "nrg": "Nero Image",
+    "mdf": "MDF",
+    "mds": "MDS",
+}
+
+
+def disc_name(fmt: Column) -> Column:
+    pairs = [x for k, v in DISC_NAMES.items() for x in (F.lit(k), F.lit(v))]
+    return F.coalesce(F.element_at(F.create_map(*pairs), fmt), F.lit("Unknown"))

@@ -120,6 +120,20 @@ def sniff_structured(spark, sf):
     return e.unionByName(d).select("event_id", detection.is_json("b").alias("is_json"), detection.is_ini("b").alias("is_ini"), detection.is_markdown("b").alias("is_markdown"))
 
 
+_KINDS = ["1F8B080000000000000000", "504B0304", "50360A", "736F6C6964", "5249464600000000574156450000"]
+_H = "case " + " ".join(f"when doc_id % 6 = {i} then '{k}'" for i, k in enumerate(_KINDS)) + " else '' end"
+
+
+@query(f"""with d as (select doc_id, {_H} || hex(encode(text)) as h from documents)
+select doc_id, length(h) >= 20 and starts_with(h, '1F8B') as gzip, starts_with(h, '504B0304') or starts_with(h, '504B0506') as zip, regexp_matches(h, '^503[1-6]') as netpbm,
+length(h) >= 12 and starts_with(h, '736F6C6964') as stl, starts_with(h, '52494646') and substr(h, 17, 8) = '57415645' as wav,
+length(h) >= 4 and regexp_matches(substr(h, 1, 200), '^(..)*?(7620|766E20|767420|6620)') as obj, length(h) >= 4096 and substr(h, 2161, 4) = '53EF' as ext2 from d""")
+def sniff_binary(spark, sf):
+    d = table(spark, sf, "documents").selectExpr("doc_id", f"unhex(concat({_H}, hex(text))) as b")
+    D = detection
+    return d.select("doc_id", D.is_gzip("b").alias("gzip"), D.is_zip("b").alias("zip"), D.is_netpbm("b").alias("netpbm"), D.is_stl("b").alias("stl"), D.is_wav("b").alias("wav"), D.is_obj("b").alias("obj"), D.is_ext2("b").alias("ext2"))
+
+
 # Text
 
 _LINES = "string_split(regexp_replace(t, '\\n$', ''), chr(10))"

@@ -66,3 +66,55 @@ def test_files_cli_and_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert (codecs.tga_decode((tmp_path / "stream" / "g.tga").read_bytes()) == gradient()).all()
     assert spark.read.parquet(str(tmp_path / "log")).count() == 1
+
+
+def test_sniffers_know_their_formats(spark):
+    from pyspark.sql import functions as F
+
+    from bytefold.functions import disks
+    from bytefold.operators import detection as D
+
+    tree = [("a.txt", False, b"x" * 3000)]
+    mesh = codecs.obj_decode(b"v 0 0 0\nv 1 0 0\nv 0 1 0\nf 1 2 3\n")
+    made = {
+        "obj": codecs.obj_encode(mesh),
+        "stl": codecs.stl_encode(mesh, False),
+        "tar": codecs.tar_encode([codecs.Entry("a", b"b")]),
+        "zip": codecs.zip_encode([codecs.Entry("a", b"b")]),
+        "gzip": codecs.gzip_encode(b"x" * 99),
+        "wav": codecs.wav_encode(codecs.Audio(samples=bytes(16))),
+        "netpbm": codecs.netpbm_encode(gradient()),
+        "fat32": disks.fat_encode(tree)[:4096],
+    }
+    df = spark.createDataFrame([(k, v) for k, v in made.items()], "kind string, b binary")
+    got = df.select("kind", *[getattr(D, f"is_{k}")("b").alias(k) for k in made]).collect()
+    for r in got:
+        assert r[r["kind"]], r["kind"]
+        assert not any(r[k] for k in made if k not in (r["kind"], "obj"))
+    raw = bytes(4096)
+    discs = {"iso": disks.iso_encode(tree), "vhd": disks.vhd_encode(raw), "chd": disks.chd_encode(raw), "cue": b'FILE "a.bin" BINARY\n TRACK 01 AUDIO\n', "bin": b"\0" + b"\xff" * 10 + b"\0" + bytes(2340)}
+    df = spark.createDataFrame([(k, v) for k, v in discs.items()], "kind string, b binary")
+    assert all(r["kind"] == r["f"] for r in df.select("kind", D.disc_format("b").alias("f")).collect())
+    assert df.select(D.disc_name(F.col("kind")).alias("n")).where("n = 'Unknown'").count() == 0
+
+
+def test_pixel_relation_equals_arrays(spark):
+    from bytefold.operators import pixels
+    from bytefold.plans import catalog
+
+    for method in ("nearest", "bilinear", "bicubic"):
+        df, w, h = pixels.convert(catalog.gradient(spark), 64, 64, flip_h=True, degrees=90, new_width=20, new_height=31, method=method)
+        want = codecs.image_transform(gradient(), flip_h=True, degrees=90, width=20, height=31, method=method)
+        assert want.shape[:2] == (h, w)
+        got = {(r["y"], r["x"], r["c"]): r["v"] for r in df.collect()}
+        worst = max(abs(got[y, x, c] - int(want[y, x, c])) for y in range(h) for x in range(w) for c in range(3))
+        assert worst <= (1 if method == "bicubic" else 0)
+
+
+def test_obj_as_relations(spark):
+    from bytefold.operators import relations
+
+    df = spark.createDataFrame([(1, "v 0 0 0\nv 1 0 0\nv 1 1 0\nv 0 1 0\nf 1 2/5 3//1 -1\nf 0 9 1\n")], "id int, c string")
+    points, faces = relations.obj_faces(df, "id", "c")
+    assert points.count() == 4
+    assert [(r["corner"], r["no"]) for r in faces.where("face = 4").orderBy("corner").collect()] == [(1, 1), (2, 2), (3, 3), (4, 4)]
