@@ -307,6 +307,37 @@ def wav_encode(a: Audio) -> bytes:
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(a.samples), b"WAVE", b"fmt ", 16, 1, a.channels, a.rate, a.rate * step, step, a.bits, b"data", len(a.samples)) + a.samples
 
 
+def wav_seconds(a: Audio) -> float:
+    step = a.channels * a.bits // 8
+    return len(a.samples) // step / a.rate if step and a.rate else 0.0
+
+
+def wav_resample(a: Audio, rate: int) -> Audio:
+    """Linear interpolation of 16-bit samples; other depths are copied under the new rate."""
+    need(bool(a.samples) and rate > 0, "INVALID_PARAMETER")
+    if a.bits != 16:
+        return Audio(rate, a.channels, a.bits, a.samples)
+    step = a.channels * 2
+    v = np.frombuffer(a.samples, "<i2", len(a.samples) // step * a.channels).reshape(-1, a.channels).astype(np.int64)
+    pos = np.arange(int(len(v) * (rate / a.rate))) / (rate / a.rate)
+    at = pos.astype(np.int64)
+    first, second = v[at], v[np.minimum(at + 1, len(v) - 1)]
+    out = np.trunc(first + (second - first) * (pos - at)[:, None])
+    return Audio(rate, a.channels, 16, out.astype("<i2").tobytes())
+
+
+def wav_channels(a: Audio, channels: int) -> Audio:
+    """Between mono and stereo, 16-bit; halves are cut toward zero."""
+    need(bool(a.samples) and channels > 0, "INVALID_PARAMETER")
+    need({a.channels, channels} <= {1, 2}, "UNSUPPORTED_CONVERSION")
+    if a.channels == channels:
+        return a
+    need(a.bits == 16, "UNSUPPORTED_CONVERSION")
+    v = np.frombuffer(a.samples, "<i2", len(a.samples) // (2 * a.channels) * a.channels).reshape(-1, a.channels).astype(np.int64)
+    out = np.repeat(v, 2, axis=1) if channels == 2 else np.trunc(v.sum(1, keepdims=True) / 2)
+    return Audio(a.rate, channels, 16, out.astype("<i2").tobytes())
+
+
 # Meshes: (n, 4, 3) float32 arrays, a normal and three vertices for each triangle
 
 

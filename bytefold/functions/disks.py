@@ -90,6 +90,20 @@ def vhd_decode(b: bytes) -> bytes:
     return b"".join(parts)[:size]
 
 
+def vhd_sector(b: bytes, sector: int) -> bytes:
+    """One sector of the disk; of a block that is not there, zeros."""
+    raw = vhd_decode(b)
+    need(0 <= sector < len(raw) // 512, "INVALID_ARGUMENT")
+    return raw[sector * 512 : sector * 512 + 512]
+
+
+def vhd_verified(b: bytes) -> bool:
+    """Whether the footer's checksum is right."""
+    need(len(b) >= 512 and b[-512:-504] == b"conectix")
+    foot = b[-512:]
+    return _summed(foot, 64)[64:68] == foot[64:68]
+
+
 # CHD
 
 HUNK = 16384
@@ -138,6 +152,29 @@ def chd_decode(b: bytes, verify: bool = False) -> bytes:
     return b"".join(out)[:size]
 
 
+def chd_metadata(b: bytes) -> list[tuple[str, bytes]]:
+    """(tag, data) of the metadata chain: tag, flags and length, next offset, data."""
+    need(len(b) >= 124 and b[:8] == b"MComprHD")
+    at, out, seen = struct.unpack_from(">Q", b, 48)[0], [], set()
+    while at and at + 16 <= len(b):
+        need(at not in seen, "CORRUPTED_DATA")
+        seen.add(at)
+        tag, size, follow = b[at : at + 4].decode("latin-1"), int.from_bytes(b[at + 5 : at + 8], "big"), struct.unpack_from(">Q", b, at + 8)[0]
+        out.append((tag, b[at + 16 : at + 16 + size]))
+        at = follow
+    return out
+
+
+def chd_with_metadata(b: bytes, entries: list[tuple[str, bytes]]) -> bytes:
+    """The image with this metadata at its end."""
+    need(len(b) >= 124 and b[:8] == b"MComprHD")
+    out, at = b[:48] + struct.pack(">Q", len(b) if entries else 0) + b[56:], len(b)
+    for i, (tag, data) in enumerate(entries):
+        at += 16 + len(data)
+        out += tag.encode("latin-1")[:4].ljust(4) + b"\1" + len(data).to_bytes(3, "big") + struct.pack(">Q", at if i + 1 < len(entries) else 0) + data
+    return out
+
+
 # ISO 9660
 
 SECTOR = 2048
@@ -292,6 +329,10 @@ class Fat:
             c = self.table[c] & 0x0FFFFFFF
         return out
 
+    def free(self) -> list[int]:
+        """Clusters that a new chain would take, in order."""
+        return [c for c in range(2, len(self.table)) if not self.table[c] & 0x0FFFFFFF]
+
     def cluster(self, c: int) -> bytes:
         at = (self.reserved + self.copies * self.fat_sectors + (c - 2) * self.per) * self.sector
         return self.data[at : at + self.per * self.sector]

@@ -66,3 +66,8 @@ def settings(spark: SparkSession, path: str) -> DataFrame:
 
 def as_bool(value: Column) -> Column:
     return value.isin("true", "1", "yes")
+
+
+def save_settings(df: DataFrame, path: str) -> None:
+    """(name, value) as a `name = value` file, sorted by name."""
+    df.select(F.concat("name", F.lit(" = "), "value").alias("value")).coalesce(1).sortWithinPartitions("value").write.mode("overwrite").text(path)

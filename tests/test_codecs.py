@@ -213,3 +213,26 @@ def ext2(files):
 def test_ext2():
     files = [("small", b"abc"), ("holes.bin", b"x" * 1024 + bytes(1024) + b"y" * 100), ("long", b"z" * 14_500)]
     assert [(p, d) for p, _, d in D.ext2_decode(ext2(files))] == files
+
+
+def test_audio_conversions():
+    v = np.array([[0, 100], [10, -7], [21, 8]], "<i2")
+    a = C.Audio(100, 2, 16, v.tobytes())
+    mono = C.wav_channels(a, 1)
+    assert np.frombuffer(mono.samples, "<i2").tolist() == [50, 1, 14]
+    assert C.wav_channels(C.wav_channels(mono, 2), 1).samples == mono.samples
+    up = np.frombuffer(C.wav_resample(mono, 200).samples, "<i2")
+    assert up.tolist() == [50, 25, 1, 7, 14, 14] and C.wav_seconds(a) == 0.03
+    assert C.wav_resample(C.Audio(8, 1, 8, b"abc"), 16).samples == b"abc"
+    with pytest.raises(C.CodecError):
+        C.wav_channels(a, 6)
+
+
+def test_disk_parts():
+    raw = bytes(range(256)) * 32
+    d = D.vhd_encode(raw, True, block=4096)
+    assert D.vhd_sector(d, 3) == raw[1536:2048] and D.vhd_verified(d)
+    c = D.chd_with_metadata(D.chd_encode(raw, 2048), [("CHTR", b"TRACK:1"), ("GDDD", b"x")])
+    assert D.chd_metadata(c) == [("CHTR", b"TRACK:1"), ("GDDD", b"x")] and D.chd_decode(c) == raw
+    f = D.fat_open(D.fat_encode(TREE))
+    assert f.free()[0] == 2 + sum(1 for x in f.table[2:] if x)
