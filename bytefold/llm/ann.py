@@ -9,7 +9,7 @@ block by block: after each block a hypothesis test on the partial distance aband
 candidates that are, almost surely, farther than the query's bound. Survivors get their
 exact inner product in double precision on the original vectors.
 
-The bound of a query is its (k+1)-th best score among a part of the fitted sample. The
+The bound of a query is its (2k+2)-th best score among a part of the fitted sample. The
 number of probed lists is the smallest that reaches RECALL on that sample, so clustered
 vectors need few lists and structureless ones many. The sample has SAMPLE classes at
 most (those of smallest hash); every vector is indexed.
@@ -182,8 +182,8 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
                 part = x[at : at + 1024]
                 score = part @ near.T
                 bound = np.full(len(part), -np.inf)
-                if len(near) > k + 1:
-                    bound = -np.partition(-score, k, axis=1)[:, k] - 1e-9
+                if len(near) > 2 * k + 2:  # with a margin, as a test may lose some that reach it
+                    bound = -np.partition(-score, 2 * k + 1, axis=1)[:, 2 * k + 1] - 1e-9
                 order = np.argsort(_far(s.asked(part), c), axis=1)
                 enough = (np.cumsum(rows_of[order], axis=1) < 4 * k).sum(1) + 1  # short lists: more of them
                 many = np.minimum(np.maximum(probes, enough), lists)
