@@ -107,6 +107,7 @@ def _verify(pairs: DataFrame, size: DataFrame, sets: DataFrame, similarity: floa
     # only the sets that are needed go through the pair joins
     near = pairs.where("not far")
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    wanted = workspace.within(workspace.keep(wanted, "wanted"))
     sets = workspace.keep(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("set").alias("set")), "sets")
     both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     seen = workspace.keep(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, like boolean"), "verified")
@@ -213,7 +214,7 @@ def distinct(docs: DataFrame, id_col: str = "doc_id", text: str = "text", simila
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows = src.mapInArrow(run, T.StructType([src.schema["row"], T.StructField("id", T.LongType()), T.StructField("node", T.LongType())]))
     same = lambda other: rows["id"].eqNullSafe(other["id"]) & (rows["node"] == other["node"])
-    kept = rows.join(gone, same(gone), "left_anti")
+    kept = rows.join(workspace.within(gone), same(gone), "left_anti")
     if twice.limit(1).count():
         # rows repeated with one id and text: all but one go
         rows = kept

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -41,6 +42,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def within(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of a few narrow columns, to be broadcast if it has at most so many rows; else it is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def drop(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_workspace_path", None)
