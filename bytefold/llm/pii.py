@@ -16,6 +16,7 @@ rows and extra columns do no harm. A pass over the texts; no shuffle.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -255,6 +256,12 @@ def train(rows: Sequence[tuple[int, int, str, str]] | None = None, steps: int =
     return Model(w, t)
 
 
+@functools.cache
+def default_model() -> Model:
+    """The model of the default table, fitted once in a process."""
+    return train()
+
+
 def viterbi(e: np.ndarray, first: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Best labels of segments: e (words, labels), first: each segment's first row, and the end. Outside of a segment is O."""
     out = np.zeros(len(e), np.int8)
@@ -365,7 +372,7 @@ def _batch(column: pa.Array, model: Model) -> list[list[tuple]]:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """(id, spans array<struct<kind, start, end, base>>) for every document; offsets in code points, end exclusive."""
-    model = train() if model is None else model
+    model = default_model() if model is None else model
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +386,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: Mod
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """(id, text) with each span replaced by <KIND>; overlapping spans give way to the earlier one."""
-    model = train() if model is None else model
+    model = default_model() if model is None else model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
