@@ -188,14 +188,13 @@ def surplus(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similar
     nodes = workspace.keep(marks.groupBy("node").agg(F.min_by(F.struct("fp", "bands", "minima", "n"), "fp").alias("x")).select("node", "x.*"), "nodes")
     roots = graph.components(links(nodes, marks.select("node", "set"), similarity))
     last = F.coalesce(F.col("id"), F.lit(2**63 - 1))
-    rows = marks.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
-    # of one id with several texts in a group, the text of smallest node stays
-    heads = rows.groupBy("root").agg(F.min(F.struct(last.alias("id"), "node")).alias("head"), F.count("*").alias("m")).where("m > 1")
-    found = workspace.keep(rows.join(heads, "root").select("id", "node", ((last == F.col("head.id")) & (F.col("node") == F.col("head.node"))).alias("stays")), "found")
-    gone = found.where("not stays").select("id", "node").distinct()
-    twice = found.where("stays").groupBy("id", "node").agg(F.count("*").alias("m")).where("m > 1")
+    rows = marks.select("id", "node").join(roots, "node", "left").select("id", "node", last.alias("last"), F.coalesce("root", "node").alias("root"))
+    # of one id with several texts in a group, the text of smallest node stays; joined by row, not by group
+    heads = rows.groupBy("root").agg(F.min(F.struct("last", "node")).alias("head")).select("head.last", "head.node")
+    gone = rows.join(heads, ["last", "node"], "left_anti").select("id", "node").distinct()
+    twice = rows.groupBy("id", "node").agg(F.count("*").alias("m")).where("m > 1")
     out = workspace.keep(gone, "gone"), workspace.keep(twice, "twice")
-    workspace.drop(marks, nodes, found)
+    workspace.drop(marks, nodes)
     return out
 
 
