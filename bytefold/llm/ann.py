@@ -9,7 +9,7 @@ block by block: after each block a hypothesis test on the partial distance aband
 candidates that are, almost surely, farther than the query's bound. Survivors get their
 exact inner product in double precision on the original vectors.
 
-The bound of a query is its (2k+2)-th best score among a part of the fitted sample. The
+The bound of a query is a score that k + 1 and a few more of the fitted sample reach. The
 number of probed lists is the smallest that reaches RECALL on that sample, so clustered
 vectors need few lists and structureless ones many. The sample has SAMPLE classes at
 most (those of smallest hash); every vector is indexed.
@@ -162,7 +162,8 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
     probes = _calibrate(space, raw, centre, k, recall) if len(raw) > k + 1 else lists
     # an eighth more than the sample asked for, as the tests lose a few
     probes = min(lists, probes + probes // 8 + 1)
-    shared = spark.sparkContext.broadcast((space, centre, raw[:BLOCK]))  # bounded by MOST_LISTS and BLOCK
+    shared = spark.sparkContext.broadcast((space, centre, raw))  # bounded by MOST_LISTS and SAMPLE
+    margin = k + 1 + max(8, k // 2)  # a test may lose some that reach the bound
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, c, _ = shared.value
@@ -178,12 +179,12 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
         s, c, near = shared.value
         for b in batches:
             x = _matrix(b.column(2), dims)
-            for at in range(0, len(x), 1024):
-                part = x[at : at + 1024]
+            for at in range(0, len(x), 256):
+                part = x[at : at + 256]
                 score = part @ near.T
                 bound = np.full(len(part), -np.inf)
-                if len(near) > 2 * k + 2:  # with a margin, as a test may lose some that reach it
-                    bound = -np.partition(-score, 2 * k + 1, axis=1)[:, 2 * k + 1] - 1e-9
+                if len(near) > margin:
+                    bound = -np.partition(-score, margin, axis=1)[:, margin] - 1e-9
                 order = np.argsort(_far(s.asked(part), c), axis=1)
                 enough = (np.cumsum(rows_of[order], axis=1) < 4 * k).sum(1) + 1  # short lists: more of them
                 many = np.minimum(np.maximum(probes, enough), lists)
