@@ -28,7 +28,7 @@ from bytefold.llm import workspace
 
 SHARDS = 24
 ROUNDS = 12
-GROUP_ROWS = 10_000
+GROUP_ROWS = 256
 SALTS = 16
 
 
@@ -116,10 +116,11 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text:
     buckets = max(64, total // 20_000)
     room = [total // shards + (i < total % shards) for i in range(shards)]
 
-    groups = rows.groupBy("k1", "k2").agg(F.count("*").alias("all")).where("all > 1")
+    first = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(shards)).cast("int").alias("shard")
+    counts = rows.groupBy("k1", "k2", first).agg(F.count("*").alias("n"))
+    groups = workspace.keep(counts.groupBy("k1", "k2").agg(F.sum("n").alias("all")).where("all > 1"), "groups")
+    cells = workspace.keep(counts.join(groups.select("k1", "k2"), ["k1", "k2"], "left_semi").select("k1", "k2", "shard", "n"), "cells")
     tied = workspace.keep(rows.select("row", "k1", "k2").join(groups, ["k1", "k2"]), "tied")
-    start = tied.groupBy("k1", "k2", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
-    cells = workspace.keep(start, "cells")
     # a random start may overfill a shard by a few; the surplus moves to shards with room
     held = np.zeros(shards, np.int64)
     for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect():
