@@ -85,14 +85,26 @@ def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *(_far(x[i : i + 4096], centre).argmin(1) for i in range(0, len(x), 4096))])
 
 
-def _calibrate(space: Space, raw: np.ndarray, centre: np.ndarray, k: int, recall: float) -> int:
+def spreads(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Each list's mean squared distance of members to their centre."""
+    own = _nearest(x, centre)
+    total = np.bincount(own, ((x - centre[own]) ** 2).sum(1), len(centre))
+    return total / np.maximum(np.bincount(own, minlength=len(centre)), 1)
+
+
+def promise(far: np.ndarray, spread: np.ndarray, dims: int) -> np.ndarray:
+    """The squared distance that a list's nearest members may have: a tight list far off can hold nearer ones than a wide list close by."""
+    return far + spread - 6 * np.sqrt(np.maximum(far, 0) * spread / dims)
+
+
+def _calibrate(space: Space, raw: np.ndarray, centre: np.ndarray, spread: np.ndarray, k: int, recall: float) -> int:
     """How many lists must be probed for the recall, on the sample against brute force."""
     own = _nearest(space.stored(raw), centre)
     some = raw[:: max(1, len(raw) // 256)]
     score = some @ raw.T
     score[np.arange(len(some)), np.arange(0, len(raw), max(1, len(raw) // 256))[: len(some)]] = -np.inf
     top = np.argpartition(-score, min(k, len(raw) - 1), axis=1)[:, :k]
-    rank = np.argsort(np.argsort(_far(space.asked(some), centre), axis=1), axis=1)
+    rank = np.argsort(np.argsort(promise(_far(space.asked(some), centre), spread, space.dims), axis=1), axis=1)
     depth = np.sort(np.take_along_axis(rank, own[top], axis=1).ravel())
     return int(depth[min(len(depth) - 1, math.ceil(recall * len(depth)) - 1)]) + 1
 
@@ -159,14 +171,15 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
     raw = _matrix(sample.column("vec"), dims)
     lists = int(min(max(total // LIST_ROWS, 1), MOST_LISTS, max(len(raw) // 16, 1)))
     centre = kmeans(space.stored(raw), lists)
-    probes = _calibrate(space, raw, centre, k, recall) if len(raw) > k + 1 else lists
+    spread = spreads(space.stored(raw), centre)
+    probes = _calibrate(space, raw, centre, spread, k, recall) if len(raw) > k + 1 else lists
     # an eighth more than the sample asked for, as the tests lose a few
     probes = min(lists, probes + probes // 8 + 1)
-    shared = spark.sparkContext.broadcast((space, centre, raw))  # bounded by MOST_LISTS and SAMPLE
+    shared = spark.sparkContext.broadcast((space, centre, spread, raw))  # bounded by MOST_LISTS and SAMPLE
     margin = k + 1 + max(8, k // 2)  # a test may lose some that reach the bound
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, c, _ = shared.value
+        s, c, _, _ = shared.value
         for b in batches:
             own = _nearest(s.stored(_matrix(b.column(3), dims)), c)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32))], names=["k1", "k2", "ids", "vec", "list"])
@@ -176,7 +189,7 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
     rows_of = np.array([size.get(i, 0) for i in range(lists)])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, c, near = shared.value
+        s, c, wide, near = shared.value
         for b in batches:
             x = _matrix(b.column(2), dims)
             for at in range(0, len(x), 256):
@@ -185,7 +198,7 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
                 bound = np.full(len(part), -np.inf)
                 if len(near) > margin:
                     bound = -np.partition(-score, margin, axis=1)[:, margin] - 1e-9
-                order = np.argsort(_far(s.asked(part), c), axis=1)
+                order = np.argsort(promise(_far(s.asked(part), c), wide, s.dims), axis=1)
                 enough = (np.cumsum(rows_of[order], axis=1) < 4 * k).sum(1) + 1  # short lists: more of them
                 many = np.minimum(np.maximum(probes, enough), lists)
                 who = np.repeat(np.arange(len(part)), many)
