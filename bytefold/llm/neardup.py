@@ -62,7 +62,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in textkit.slices(b.column(1), 1_000_000):
+            for t in textkit.slices(b.column(1), 500_000):
                 s, doc, node = _shingles(t, width)
                 key = np.unique(doc.astype(np.uint64) << np.uint64(32) | s >> np.uint64(32))
                 owner = (key >> np.uint64(32)).astype(np.int64)
