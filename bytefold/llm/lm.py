@@ -1,20 +1,18 @@
-"""N-gram language-model scores from a log-frequency Bloom filter.
-
-Counts. Every word of every training text is counted exactly (by 64-bit hash, combined
-in each task before the shuffle). An n-gram enters the model if its count is at least
-`tokens / entries`, so each order has at most `entries` members at every corpus size:
-that is the proven bound of what is collected and broadcast. Longer n-grams are counted
-only where both their shorter parts are members, which loses none (a part is at least as
-frequent).
-
-Filter. A member n-gram of count c is inserted with the levels 1..1+floor(log_b(c/least)).
-A probe walks up the levels until one is missing, which gives a lower edge of the count;
-upper edges serve as denominators, so the interpolated probabilities never sum above one
-but for the filter's one-sided errors.
-
-Words under the bound are in no member n-gram; what such a word adds is a factor of its
-context times its exact unigram, which comes from a shuffle join. So unigram counts are
-exact for all words and no vocabulary is broadcast whole.
+"""N-gram language-model scores from the counts of all n-grams, dealt by hash.
+
+Counts. Texts are cut into slices. A slice sends its distinct words, bigrams and trigrams
+(hashes, with their counts in training texts) to shards, a shard being a range of
+hashes. A shard adds up the training counts and answers every slice that asked, in the
+order of its keys; the slice then scores its texts. So every n-gram counts that occurs
+in training at least `least` times (1 by default: all of them) at every corpus size.
+Shards grow in number with the tokens, nothing is broadcast, and the driver gets three
+numbers. A key that all slices share costs a shard one entry a slice.
+Hashes have 64 bits for words and 48 for bigrams and trigrams: of six thousand million
+distinct ones about one in 50,000 shares its hash with another.
+
+Levels. A bigram's or trigram's count c enters as its level 1+floor(log_b(c/least)): the
+lower edge of a level serves as the count, the upper edge as the denominator, so the
+interpolated probabilities never sum above one. Unigram counts are exact.
 
 Nulls: a null text is empty (one end token); a null id is a training row. Repeated rows
 count and are scored each. Only id and text are read. An empty table gives no rows.
@@ -22,18 +20,21 @@ count and are scored each. Only id and text are read. An empty table gives no ro
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytefold.llm import textkit, workspace
 
-ENTRIES = 1 << 21
+LEAST = 1
+SLICE = 1_000_000
+SHARD_TOKENS = 2_000_000
 LEVEL = 1.5
 PROBES = 10
 ORDER = 3
@@ -138,19 +139,6 @@ class LogBloom:
         return out
 
 
-@dataclass
-class Model:
-    least: int
-    tokens: int
-    distinct: int
-    words: Counts
-    filter: LogBloom
-
-    @property
-    def norm(self) -> float:
-        return math.log10(self.tokens + self.distinct + 1)
-
-
 def _tokens(t: textkit.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a slice's tokens, an end after each document's words, and each document's first token (n + 1)."""
     w = textkit.words(t)
@@ -175,109 +163,132 @@ def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return textkit.mix(left * np.uint64(0xD6E8FEB86659FD93) + (right ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
 
 
-def _grams(x: np.ndarray, first: np.ndarray, order: int, model: Model | None) -> np.ndarray:
-    """Keys of the n-grams that end at each token, without those that cannot be members."""
-    if order == 1:
-        return x
-    keep = np.flatnonzero(model.words.get(x) > 0)
+def _grams(x: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1..order (3 at most) the keys of the n-grams and the tokens they end at; a trigram has two words at least."""
     one = _back(x, first, 1)
-    ok = (one[keep] == START) | (model.words.get(one[keep]) > 0)
-    keep = keep[ok]
-    if order == 2:
-        return _pair(one[keep], x[keep])
-    two = _back(x, first, 2)
-    keep = keep[(one[keep] != START) & (model.filter.level_of(_pair(one[keep], x[keep])) > 0)]
-    keep = keep[model.filter.level_of(_pair(two[keep], one[keep])) > 0]
-    return _pair(_pair(two[keep], one[keep]), x[keep])
+    out = [(x, np.arange(len(x))), (_pair(one, x), np.arange(len(x)))]
+    at = np.flatnonzero(one != START)
+    out.append((_pair(_pair(_back(x, first, 2)[at], one[at]), x[at]), at))
+    return out[:order]
+
+
+def _distinct(g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The distinct keys, sorted, of n-grams of k + 1 words, each n-gram's place among them, and their bytes."""
+    wide = 6 if k else 8
+    return *np.unique(g >> np.uint64(64 - 8 * wide), return_inverse=True), wide
+
+
+def _packed(keys: np.ndarray, wide: int) -> bytes:
+    """Sorted keys by byte, highest first: what they share compresses."""
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - wide :].T.tobytes()
+
+
+def _unpacked(blob: bytes, wide: int) -> np.ndarray:
+    by = np.frombuffer(blob, np.uint8).reshape(wide, -1)
+    out = np.zeros((by.shape[1], 8), np.uint8)
+    out[:, 8 - wide :] = by.T
+    return out.view(">u8").ravel().astype(np.uint64)
+
 
+def _slices(src: DataFrame) -> DataFrame:
+    """(slice, ids, training, texts, tokens, learned): the rows of src in slices; learned: tokens of training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for t in textkit.slices(b.column(1), SLICE):
+                count = textkit.words(t).count + 1
+                train = b.column(2).slice(t.first, t.n)
+                learned = count[train.fill_null(False).to_numpy(zero_copy_only=False)].sum()
+                lists = [pa.ListArray.from_arrays(pa.array([0, t.n], pa.int32()), b.column(k).slice(t.first, t.n)) for k in (0, 2, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([name]), *lists, pa.array([int(count.sum())]), pa.array([int(learned)])], names=["slice", "ids", "training", "texts", "tokens", "learned"])
+                name += 1
+
+    return src.select("id", "text", "training").mapInArrow(run, "slice long, ids array<long>, training array<boolean>, texts array<string>, tokens long, learned long")
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
+def _only(lists: pa.Array | pa.ChunkedArray) -> Iterator[pa.Array]:
+    """The values of each list of a column."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    for k in range(len(lists)):
+        yield lists.slice(k, 1).flatten()
 
-def _count(docs: DataFrame, order: int, model, most: int = 3_000_000) -> DataFrame:
-    """(h, n) of all n-grams of the texts."""
+
+def _asked(slices: DataFrame, order: int, bits: int) -> DataFrame:
+    """(shard, slice, keys, counts): what each slice asks of each shard; a shard is an order and the leading bits of its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["h", "n"])
+        for b in batches:
+            for name, train, texts in zip(b.column(0).to_pylist(), _only(b.column(1)), _only(b.column(2)), strict=True):
+                for t in textkit.slices(texts, 1 << 62):
+                    x, first = _tokens(t)
+                    weight = np.repeat(train.fill_null(False).to_numpy(zero_copy_only=False), np.diff(first))
+                    for k, (g, at) in enumerate(_grams(x, first, order)):
+                        keys, inverse, wide = _distinct(g, k)
+                        n = np.bincount(inverse, weight[at], len(keys)).astype("<u4")
+                        shard = (keys >> np.uint64(8 * wide - bits)).astype(np.int64)
+                        cuts = np.append(np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(keys)) if len(keys) else np.zeros(0, np.int64)
+                        spans = list(zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False))
+                        blobs = [pa.array([_packed(keys[i:j], wide) for i, j in spans], pa.binary()), pa.array([n[i:j].tobytes() for i, j in spans], pa.binary())]
+                        yield pa.RecordBatch.from_arrays([pa.array(shard[cuts - 1] + (k << bits)), pa.array(np.full(len(cuts), name)), *blobs], names=["shard", "slice", "keys", "counts"])
+
+    return slices.select("slice", "training", "texts").mapInArrow(run, "shard long, slice long, keys binary, counts binary")
+
+
+def _answered(asked: DataFrame, bits: int, least: int) -> DataFrame:
+    """(shard, slice, values, distinct): the keys' training counts (of words, 8 bytes) or levels (1 byte); a row without a slice has the number of a shard's keys in training."""
+    scale = LogBloom(least)
+
+    def solve(shard: int, slices: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+        if shard >> bits:
+            levels = np.zeros(len(n), np.uint8)
+            levels[n >= least] = scale.levels(n[n >= least])
+            values = levels[inverse]
+        else:
+            values = n[inverse]
+        cuts = np.cumsum([0, *(len(k) for k, _ in parts)])
+        blobs = [values[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        m = len(parts)
+        return pa.RecordBatch.from_arrays([pa.array([shard] * (m + 1)), pa.array([*slices, None], pa.int64()), pa.array([*blobs, None], pa.binary()), pa.array([*[None] * m, int((n > 0).sum())], pa.int64())], names=["shard", "slice", "values", "distinct"])
 
-        parts, held = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, slices, parts = None, [], []
         for b in batches:
-            for t in textkit.slices(b.column(0)):
-                g = _grams(*_tokens(t), order, model and model.value)
-                k, n = np.unique(g, return_counts=True)
-                parts.append((k, n.astype(np.int64)))
-                held += len(k)
-                if held > most:
-                    parts = [_merge(parts)]
-                    held = len(parts[0][0])
-                    if held > most // 2:
-                        yield out(*parts.pop())
-                        held = 0
+            for s, name, keys, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if s != shard and parts:
+                    yield solve(shard, slices, parts)
+                    slices, parts = [], []
+                shard = s
+                slices.append(name)
+                parts.append((_unpacked(keys, 6 if s >> bits else 8), np.frombuffer(n, "<u4")))
         if parts:
-            yield out(*_merge(parts))
-
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
-def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A bounded count table as arrays."""
-    t = df.toArrow()
-    return t.column("h").to_numpy().view(np.uint64), t.column("n").to_numpy()
-
-
-def train(docs: DataFrame, entries: int = ENTRIES, order: int = ORDER) -> tuple[Model, DataFrame]:
-    """The model of a column `text`, and the written table (h, n) of all words' exact counts."""
-    counts = workspace.keep(_count(docs, 1, None), "words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    least = max(1, -(-int(total["n"]) // entries))
-    keys, n = _collect(counts.where(F.col("n") >= least))
-    model = Model(least, int(total["n"]), int(total["v"]), Counts(keys, n), LogBloom(least))
-    full = LogBloom(least)
-    sc = docs.sparkSession.sparkContext
-    for k in range(2, order + 1):
-        shared = sc.broadcast(model)
-        grams = _count(docs, k, shared).where(F.col("n") >= least)
-        full.add(*_collect(grams))
-        shared.unpersist()
-        model = Model(least, model.tokens, model.distinct, model.words, full.light())
-    return model, counts
-
-
-def _score(x: np.ndarray, first: np.ndarray, m: Model, order: int) -> tuple[np.ndarray, ...]:
-    """For each token its count (0 if rare), the log10 of its probability, and whether its unigram is still to be added."""
-    c = m.words.get(x)
-    rare = c == 0
-    p1 = (c + 1.0) / (m.tokens + m.distinct + 1.0)
+            yield solve(shard, slices, parts)
+
+    return asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard long, slice long, values binary, distinct long")
+
+
+def _score(x: np.ndarray, first: np.ndarray, counts: np.ndarray, levels: list[np.ndarray], docs: int, norm: float, least: int) -> np.ndarray:
+    """For each token the log10 of its probability. levels: of the bigrams and trigrams that end at each token."""
+    scale = LogBloom(least)
     one = _back(x, first, 1)
-    docs = m.words.get(np.array([END]))[0]
-    c1 = np.append(np.int64(0), c[:-1])
-    c1 = np.where(one == START, docs, c1).astype(float)
-    w2 = c1 / (c1 + PRIOR)
-    top2 = np.zeros(len(x))
-    go = np.flatnonzero(~rare & (c1 > 0))
-    two_key = _pair(one[go], x[go])
-    level = np.zeros(len(x), np.int64)
-    level[go] = m.filter.level_of(two_key)
-    np.divide(m.filter.lower(level), c1, out=top2, where=c1 > 0)
-    p = w2 * np.minimum(top2, 1) + (1 - w2) * p1
-    keep = 1 - w2
-    if order > 2:
+    start = one == START
+    c1 = np.append(np.int64(0), counts[:-1])
+    c1 = np.where(start, docs, np.where(c1 >= least, c1, 0)).astype(float)
+    p = (counts + 1.0) / 10.0**norm
+    if levels:
+        w2, top2 = c1 / (c1 + PRIOR), np.zeros(len(x))
+        np.divide(scale.lower(levels[0]), c1, out=top2, where=c1 > 0)
+        p = w2 * np.minimum(top2, 1) + (1 - w2) * p
+    if len(levels) > 1:
         # the level of the bigram that ends at the word before; none across a start
-        was = np.append(np.int64(0), level[:-1])
-        was[first[:-1][first[:-1] < len(x)]] = 0
-        high = m.filter.upper(was)
-        w3 = high / (high + PRIOR)
-        three = np.zeros(len(x))
-        go = np.flatnonzero((level > 0) & (was > 0))
-        two = _back(x, first, 2)
-        at = m.filter.level_of(_pair(_pair(two[go], one[go]), x[go]))
-        three[go] = np.minimum(m.filter.lower(at) / high[go], 1)
-        p = w3 * three + (1 - w3) * p
-        keep = keep * (1 - w3)
-    return c, np.where(rare, np.log10(keep) - m.norm, np.log10(p)), rare
+        was = np.where(start, 0, np.append(np.int64(0), levels[0][:-1]))
+        high = scale.upper(was)
+        w3, three = high / (high + PRIOR), np.zeros(len(x))
+        np.divide(scale.lower(levels[1]), high, out=three, where=high > 0)
+        p = w3 * np.minimum(three, 1) + (1 - w3) * p
+    return np.log10(p)
 
 
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
@@ -285,43 +296,58 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text: str = "text", entries: int = ENTRIES, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text: str = "text", entries: int | None = None, order: int = ORDER, least: int = LEAST) -> DataFrame:
     """(id, training, n_tokens, n_known, train_tokens, base_score, score) for every document.
 
-    training: a boolean column of docs; its true rows are learned from.
+    training: a boolean column of docs; its true rows are learned from. least: the lowest count of an
+    n-gram in the model, at any corpus size; entries: if given, least is the training tokens / entries.
     """
-    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"), training.alias("training"))
-    model, counts = train(src.where("training"), entries, order)
-    shared = spark.sparkContext.broadcast(model)
-    kind = "id long, training boolean, n_tokens long, known long, base double, model double, rare array<long>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            for t in textkit.slices(b.column(1)):
-                x, first = _tokens(t)
-                c, lp, rare = _score(x, first, m, order)
-                doc = np.repeat(np.arange(t.n), np.diff(first))
-                total = lambda v, doc=doc, n=t.n: np.bincount(doc, v, n)
-                rest = np.searchsorted(np.flatnonzero(rare), first)
-                ids = b.column(0).slice(t.first, t.n)
-                cols = [ids, b.column(2).slice(t.first, t.n), pa.array(np.diff(first)), pa.array(total(~rare).astype(np.int64)), pa.array(total(np.log10(c + 1.0))), pa.array(total(lp)), pa.ListArray.from_arrays(pa.array(rest.astype(np.int32)), pa.array(x[rare].view(np.int64)))]
-                yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in kind.split(", ")])
-
-    scored = src.mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id())
-    rows = workspace.keep(scored, "scored")
-    # a rare word's unigram: its exact count, if it has one
-    words = rows.select("row", F.explode("rare").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k"))
-    known = words.join(counts.where(F.col("n") < model.least), "h").groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("s"))
-    out = rows.drop("rare").join(known, "row", "left")
-    k, s = F.coalesce("k", F.lit(0)), F.coalesce("s", F.lit(0.0))
-    return out.select(
+    slices = workspace.keep(_slices(src), "slices")
+    size = slices.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("learned"), F.lit(0)).alias("learned"), F.coalesce(F.sum(F.expr("size(filter(training, x -> x))")), F.lit(0)).alias("docs")).first()
+    tokens, n_docs = int(size["learned"]), int(size["docs"])
+    if entries is not None:
+        least = max(1, -(-tokens // entries))
+    bits = max(5, (int(size["n"]) // SHARD_TOKENS).bit_length())
+    answers = workspace.keep(_answered(_asked(slices, order, bits), bits, least), "answers")
+    # the shuffle of the keys is done with; Spark removes its files once the driver's garbage is collected
+    gc.collect()
+    docs.sparkSession._jvm.System.gc()
+    # the words of training: one number a shard
+    distinct = answers.where(F.col("slice").isNull() & (F.col("shard") < 1 << bits)).agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()["v"]
+    norm = math.log10(tokens + int(distinct) + 1)
+    kind = "id long, training boolean, n_tokens long, known long, base double, model double"
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = [f.split()[0] for f in kind.split(", ")]
+        ids, train, texts = (next(_only(left.column(c))) for c in ("ids", "training", "texts"))
+        (t,) = textkit.slices(texts, 1 << 62)
+        x, first = _tokens(t)
+        shard = right.column("shard").to_numpy()
+        rows, blobs = np.argsort(shard), right.column("values").to_pylist()
+        found = []
+        for k, (g, at) in enumerate(_grams(x, first, order)):
+            # shards are ranges of keys, so their answers in order are those of the sorted keys
+            mine = b"".join(blobs[i] for i in rows if shard[i] >> bits == k)
+            values = np.frombuffer(mine, np.uint8 if k else "<i8").astype(np.int64)
+            of = np.zeros(len(x), np.int64)
+            if len(g):
+                of[at] = values[_distinct(g, k)[1]]
+            found.append(of)
+        lp = _score(x, first, found[0], found[1:], n_docs, norm, least)
+        doc = np.repeat(np.arange(t.n), np.diff(first))
+        total = lambda v: np.bincount(doc, v, t.n)
+        cols = [ids, train, pa.array(np.diff(first)), pa.array(total(found[0] > 0).astype(np.int64)), pa.array(total(np.log10(found[0] + 1.0))), pa.array(total(lp))]
+        return pa.Table.from_arrays(cols, names=names)
+
+    own = slices.select("slice", "ids", "training", "texts").groupBy("slice")
+    scored = own.cogroup(answers.where("slice is not null").select("slice", "shard", "values").groupBy("slice")).applyInArrow(run, kind)
+    return scored.select(
         F.col("id").alias(id_col),
         "training",
         "n_tokens",
-        (F.col("known") + k).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + s - F.col("n_tokens") * F.lit(model.norm)).alias("base_score"),
-        (F.col("model") + s).alias("score"),
+        F.col("known").alias("n_known"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
+        F.col("model").alias("score"),
     )

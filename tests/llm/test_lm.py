@@ -65,6 +65,14 @@ def test_against_dictionaries(spark, entries):
         assert a[6] == pytest.approx(b[6], rel=0.01)  # the filter errs on one side for a few n-grams
 
 
+def test_rare_pairs_count_in_a_large_corpus(spark):
+    rows = [*corpus(30), *((i, "the stone " * 20_000) for i in range(600, 665)), (700, "the"), (701, "quick amber fox"), (705, "quick amber fox quick amber fox")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm.score(df, ~lm.held_out("doc_id", 7, 2)).where("doc_id >= 700").collect()}
+    want = {r[0]: r[6] for r in brute(rows, 10**12) if r[0] is not None and r[0] >= 700}
+    assert got == {d: pytest.approx(s, rel=1e-9) for d, s in want.items()}
+
+
 def test_filter_levels():
     r = np.random.default_rng(1)
     keys, counts = r.integers(0, 2**63, 20_000).astype(np.uint64), r.integers(5, 10_000, 20_000)
