@@ -10,7 +10,10 @@ node from the start, so a copied text costs what any other does.
 Within a band's bucket, a member is paired with its most alike earlier member and its
 most alike member of all, judged by the shares of equal minima, if these allow 0.8 at
 all. So a bucket emits at most two pairs a member and never its pairs. A large bucket is
-read in blocks, with one member of each group so far carried on.
+read in blocks, with one member of each group so far carried on. These pairs only join
+most of a group cheaply. Once they are verified, each bucket whose members are still in
+several groups proposes all its pairs across groups that the shares allow, so that every
+such pair is either within one verified group or verified itself.
 
 Nulls: a null text has no words, and all texts without words are equal. A null id sorts
 last among a group's rows. Of rows repeated with one id and text one stays. All columns
@@ -167,6 +170,58 @@ def _pairs_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield solve(node, m)[0]
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The node, root and last column of each run of rows with equal first two columns."""
+    key, parts = None, []
+    for x in batches:
+        cols = [np.asarray(x.column(k)).astype(np.int64) for k in range(4)]
+        last = x.column(4)
+        last = np.frombuffer(b"".join(last.to_pylist()), "<u4").reshape(-1, BANDS * BAND) if pa.types.is_binary(last.type) or pa.types.is_large_binary(last.type) else np.asarray(last).view(np.uint64)
+        cuts = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(last)], strict=True):
+            if a == z:
+                continue
+            if parts and (cols[0][a], cols[1][a]) != key:
+                yield [np.concatenate(p) for p in zip(*parts, strict=True)]
+                parts = []
+            key = (cols[0][a], cols[1][a])
+            parts.append((cols[2][a:z], cols[3][a:z], last[a:z]))
+    if parts:
+        yield [np.concatenate(p) for p in zip(*parts, strict=True)]
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the minima (or fingerprints) of each of x and each of y allow a link."""
+    if x.ndim == 1:
+        return np.bitwise_count(x[:, None] ^ y[None, :]) <= 4
+    return (x[:, None, :] == y[None, :, :]).mean(2) >= ALLOW
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, key, node, root, minima or fp) sorted by keys in; all pairs of a bucket out that are alike and of different roots."""
+    for node, root, m in _buckets(batches):
+        names, count = np.unique(root, return_counts=True)
+        main = root == names[count.argmax()]
+        # one side of each such pair is outside the largest group
+        few = np.flatnonzero(~main)
+        for at in range(0, len(few), 64):
+            i = few[at : at + 64]
+            for b in range(0, len(node), BLOCK):
+                j = np.arange(b, min(len(node), b + BLOCK))
+                ok = (root[i][:, None] != root[j][None, :]) & (main[j][None, :] | (j[None, :] > i[:, None]))
+                if ok.any():
+                    p, q = np.nonzero(ok & _alike(m[i], m[j]))
+                    p, q = node[i[p]], node[j[q]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+
+def _mixed(rows: DataFrame, keys: list[str], last: DataFrame) -> DataFrame:
+    """All pairs across roots in the buckets of rows (keys, node, root); last: (node, minima or fp)."""
+    several = rows.groupBy(*keys).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select(*keys)
+    some = rows.join(several, keys).join(last, "node").select(*keys, "node", "root", last.columns[1])
+    return some.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across, "a long, b long")
+
+
 def links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) verified links among nodes (a written table: node, fp, bands, minima, n; one row a node). sets: (node, set), perhaps repeated."""
     fps = workspace.keep(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "fps")
@@ -179,7 +234,13 @@ def links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) ->
     live = rows.join(shared, ["band", "value"]).join(nodes.select("node", "minima"), "node").select("band", "value", "node", "minima")
     banded = live.repartition("band", "value").sortWithinPartitions("band", "value", "node").mapInArrow(_pairs_of_buckets, "a long, b long")
     every = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(banded).distinct()
-    return _verify(every, nodes.select("node", "n"), sets, similarity)
+    every = workspace.keep(every, "tried")
+    first = workspace.keep(_verify(every, nodes.select("node", "n"), sets, similarity), "first")
+    groups = graph.components(first)
+    rooted = lambda x: x.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    across = _mixed(rooted(rows.join(shared, ["band", "value"])), ["band", "value"], nodes.select("node", "minima"))
+    more = workspace.keep(across.distinct().join(every, ["a", "b"], "left_anti"), "more")
+    return first.unionByName(_verify(more, nodes.select("node", "n"), sets, similarity))
 
 
 def surplus(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:

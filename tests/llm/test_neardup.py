@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from bytefold.llm import neardup
 
 
@@ -60,3 +62,26 @@ def test_crowded_bucket_and_repeated_rows(spark):
     got = sorted((r["doc_id"] is None, r["doc_id"]) for r in neardup.distinct(df).collect())
     assert got == [(False, 0), (False, 100), (True, None)]
     assert neardup.distinct(df.limit(0)).collect() == []
+
+
+def nodes_of(spark, rows):
+    """Tables for links() from (node, fp, bands, changed minima, shingles)."""
+    nodes, sets = [], []
+    for node, fp, bands, changed, shingles in rows:
+        m = np.zeros(neardup.BANDS * neardup.BAND, "<u4")
+        m[changed] = 1
+        nodes.append((node, fp, [bands, *range(node * 100, node * 100 + neardup.BANDS - 1)], bytearray(m.tobytes()), len(shingles)))
+        sets.append((node, bytearray(np.array(shingles, "<u4").tobytes())))
+    return spark.createDataFrame(nodes, "node long, fp long, bands array<long>, minima binary, n long"), spark.createDataFrame(sets, "node long, set binary")
+
+
+NEAR, NEARER, OTHER = list(range(100)), list(range(99)), list(range(200, 300))
+
+
+def linked(spark, rows):
+    return {(r["a"], r["b"]) for r in neardup.links(*nodes_of(spark, rows)).collect()}
+
+
+def test_a_partner_that_fails_hides_no_other(spark):
+    rows = [(1, 0, 7, [], OTHER), (2, 2**32 - 1, 7, slice(0, 8), NEAR), (3, 2**62 - 2**31, 7, slice(72, 80), NEARER)]
+    assert linked(spark, rows) == {(2, 3)}
