@@ -13,7 +13,8 @@ all. So a bucket emits at most two pairs a member and never its pairs. A large b
 read in blocks, with one member of each group so far carried on. These pairs only join
 most of a group cheaply. Once they are verified, each bucket whose members are still in
 several groups proposes all its pairs across groups that the shares allow, so that every
-such pair is either within one verified group or verified itself.
+such pair is either within one verified group or verified itself. The cells of the
+popcount grid do the same with fingerprints at 4 bits or fewer.
 
 Nulls: a null text has no words, and all texts without words are equal. A null id sorts
 last among a group's rows. Of rows repeated with one id and text one stays. All columns
@@ -239,6 +240,10 @@ def links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) ->
     groups = graph.components(first)
     rooted = lambda x: x.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     across = _mixed(rooted(rows.join(shared, ["band", "value"])), ["band", "value"], nodes.select("node", "minima"))
+    # the forest of fingerprints loses pairs when its own links fail: all of a cell's pairs across groups, equal fingerprints included
+    dims = simhash._cells(nodes.select("fp").distinct(), 4, 6).select("c", "k", "fp")
+    cells = rooted(nodes.select("node", "fp")).join(dims, "fp").select("c", "k", "node", "root")
+    across = across.unionByName(_mixed(cells, ["c", "k"], nodes.select("node", "fp")))
     more = workspace.keep(across.distinct().join(every, ["a", "b"], "left_anti"), "more")
     return first.unionByName(_verify(more, nodes.select("node", "n"), sets, similarity))
 

@@ -85,3 +85,10 @@ def linked(spark, rows):
 def test_a_partner_that_fails_hides_no_other(spark):
     rows = [(1, 0, 7, [], OTHER), (2, 2**32 - 1, 7, slice(0, 8), NEAR), (3, 2**62 - 2**31, 7, slice(72, 80), NEARER)]
     assert linked(spark, rows) == {(2, 3)}
+
+
+def test_a_failed_forest_link_hides_no_other(spark):
+    rows = [(1, 0, 17, [], OTHER), (2, 1, 27, [], NEAR), (3, 3, 37, [], NEARER)]
+    # equal fingerprints with a hub that is like none of them
+    rows += [(11, 2**40 - 1, 47, [], list(range(300, 400))), (12, 2**40 - 1, 57, [], list(range(500, 600))), (13, 2**40 - 1, 67, [], list(range(500, 599)))]
+    assert linked(spark, rows) == {(2, 3), (12, 13)}
