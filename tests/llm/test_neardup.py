@@ -92,3 +92,12 @@ def test_a_failed_forest_link_hides_no_other(spark):
     # equal fingerprints with a hub that is like none of them
     rows += [(11, 2**40 - 1, 47, [], list(range(300, 400))), (12, 2**40 - 1, 57, [], list(range(500, 600))), (13, 2**40 - 1, 67, [], list(range(500, 599)))]
     assert linked(spark, rows) == {(2, 3), (12, 13)}
+
+
+def test_a_bucket_of_several_blocks_forgets_nobody(spark):
+    r = np.random.default_rng(5)
+    fp = r.integers(0, 2**62, neardup.BLOCK + 20).tolist()
+    rows = [(i, fp[i], 7, [], OTHER) for i in range(1, neardup.BLOCK + 10)]
+    rows[1500] = (1501, fp[1501], 7, slice(0, 20), NEAR)
+    rows.append((neardup.BLOCK + 15, fp[-1], 7, slice(0, 20), NEARER))
+    assert (1501, neardup.BLOCK + 15) in linked(spark, rows)
