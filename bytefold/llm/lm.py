@@ -1,18 +1,25 @@
-"""N-gram language-model scores from the counts of all n-grams, dealt by hash.
+"""N-gram language-model scores from log-frequency Bloom filters of all n-grams, dealt by hash.
 
-Counts. Texts are cut into slices. A slice sends its distinct words, bigrams and trigrams
+Filters. Texts are cut into slices. A slice sends its distinct words, bigrams and trigrams
 (hashes, with their counts in training texts) to shards, a shard being a range of
-hashes. A shard adds up the training counts and answers every slice that asked, in the
-order of its keys; the slice then scores its texts. So every n-gram counts that occurs
-in training at least `least` times (1 by default: all of them) at every corpus size.
-Shards grow in number with the tokens, nothing is broadcast, and the driver gets three
-numbers. A key that all slices share costs a shard one entry a slice.
-Hashes have 64 bits for words and 48 for bigrams and trigrams: of six thousand million
-distinct ones about one in 50,000 shares its hash with another.
+hashes. A shard adds up the training counts, puts every n-gram with its quantised count
+into a Bloom filter of (n-gram, level) pairs sized for what it holds, and answers every
+slice that asked by repeated membership probes, in the order of its keys; the slice then
+scores its texts. So every n-gram that occurs in training at least `least` times (1 by
+default: all of them) is in the model at every corpus size. A filter of all n-grams grows
+with the corpus and has no bound to broadcast it under, so the probes go to its shards
+instead; shards grow in number with the tokens and the driver gets three numbers.
+Unigram counts are answered exactly, since the base score needs them exact.
+
+Sizes. Within a shard a bigram or trigram is 32 bits, so of up to SHARD_TOKENS distinct
+ones at most one in 2,000 shares its hash with another, at every corpus size; words have
+64 bits. A slice's sorted keys travel as differences by byte, compressed: some three
+bytes a key. A key that all slices share costs a shard one entry a slice of SLICE bytes.
 
 Levels. A bigram's or trigram's count c enters as its level 1+floor(log_b(c/least)): the
 lower edge of a level serves as the count, the upper edge as the denominator, so the
-interpolated probabilities never sum above one. Unigram counts are exact.
+interpolated probabilities never sum above one but by a filter's false positives (one
+probe in 65,000).
 
 Nulls: a null text is empty (one end token); a null id is a training row. Repeated rows
 count and are scored each. Only id and text are read. An empty table gives no rows.
@@ -33,10 +40,10 @@ from pyspark.sql import functions as F
 from bytefold.llm import textkit, workspace
 
 LEAST = 1
-SLICE = 1_000_000
+SLICE = 4_000_000
 SHARD_TOKENS = 2_000_000
 LEVEL = 1.5
-PROBES = 10
+PROBES = 16
 ORDER = 3
 PRIOR = 20.0
 END = np.uint64(0xE1D0E1D0E1D0E1D1)
@@ -44,52 +51,16 @@ START = np.uint64(0x57A2757A2757A271)
 _STEP = 0x9E3779B97F4A7C15
 
 
-class Counts:
-    """Exact counts (1 or more) of known 64-bit keys: open addressing over numpy arrays, 64 bytes a key at most."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys) * 2).bit_length())
-        self.key = np.zeros(1 << self.bits, np.uint64)
-        self.value = np.zeros(1 << self.bits, np.int64)
-        slot, mask = self._slot(keys), np.int64((1 << self.bits) - 1)
-        left = np.arange(len(keys))
-        while len(left):
-            free = left[self.value[slot[left]] == 0]
-            _, one = np.unique(slot[free], return_index=True)
-            put = free[one]
-            self.key[slot[put]], self.value[slot[put]] = keys[put], values[put]
-            done = np.zeros(len(keys), dtype=bool)
-            done[put] = True
-            left = left[~done[left]]
-            slot[left] = (slot[left] + 1) & mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Each key's count; 0 if unknown."""
-        out = np.zeros(len(keys), np.int64)
-        slot, live = self._slot(keys), np.arange(len(keys))
-        mask = np.int64((1 << self.bits) - 1)
-        while len(live):
-            live = live[self.value[slot[live]] > 0]
-            same = self.key[slot[live]] == keys[live]
-            out[live[same]] = self.value[slot[live[same]]]
-            live = live[~same]
-            slot[live] = (slot[live] + 1) & mask
-        return out
-
-
 class LogBloom:
     """A Bloom filter of (n-gram, level) pairs."""
 
     def __init__(self, least: int, level: float = LEVEL, probes: int = PROBES):
         self.least, self.level, self.probes = least, level, probes
-        self.size, self.words = np.uint64(64), np.zeros(1, np.uint64)
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size, self.bits = np.uint64(64), np.zeros(8, np.uint8)
 
     def _where(self, keys: np.ndarray, k: int) -> np.ndarray:
-        return (keys + np.uint64(_STEP * k % 2**64) * (keys >> np.uint64(32) | np.uint64(1))) % self.size
+        step = np.uint64(_STEP * k % 2**64) * (keys & np.uint64(0xFFFFFFFF) | np.uint64(1))
+        return (keys + step >> np.uint64(32)) * self.size >> np.uint64(32)
 
     def _at(self, keys: np.ndarray, level: int) -> np.ndarray:
         return textkit.mix(keys + np.uint64(_STEP * level % 2**64))
@@ -97,18 +68,20 @@ class LogBloom:
     def levels(self, counts: np.ndarray) -> np.ndarray:
         return 1 + np.floor(np.log(counts / self.least) / math.log(self.level) + 1e-9).astype(np.int64)
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """The filter is sized for all that was ever added, and filled again."""
-        self.parts.append((keys, self.levels(counts)))
-        total = sum(int(q.sum()) for _, q in self.parts)
-        self.size = np.uint64(max(64, int(total * self.probes / math.log(2)) + 1))
-        self.words = np.zeros(int(self.size) // 64 + 1, np.uint64)
-        for keys, q in self.parts:
-            for level in range(1, int(q.max(initial=0)) + 1):
-                at = self._at(keys[q >= level], level)
-                for k in range(self.probes):
-                    i = self._where(at, k)
-                    np.bitwise_or.at(self.words, (i >> np.uint64(6)).astype(np.int64), np.uint64(1) << (i & np.uint64(63)))
+    def fill(self, keys: np.ndarray, counts: np.ndarray) -> LogBloom:
+        """Holds these n-grams, each at its level and all below, and is sized for them."""
+        q = self.levels(counts)
+        size = max(64, int(int(q.sum()) * self.probes / math.log(2)) + 1)
+        if size >> 32:
+            raise ValueError("too many n-grams for one filter: use more shards")
+        self.size = np.uint64(size)
+        set_ = np.zeros(size, dtype=bool)
+        for level in range(1, int(q.max(initial=0)) + 1):
+            at = self._at(keys[q >= level], level)
+            for k in range(self.probes):
+                set_[self._where(at, k)] = True
+        self.bits = np.packbits(set_, bitorder="little")
+        return self
 
     def level_of(self, keys: np.ndarray) -> np.ndarray:
         """The highest level found of each key; 0 if it is no member."""
@@ -118,7 +91,7 @@ class LogBloom:
             at = self._at(keys[live], level)
             for k in range(self.probes):
                 i = self._where(at, k)
-                hit = (self.words[(i >> np.uint64(6)).astype(np.int64)] >> (i & np.uint64(63)) & np.uint64(1)).astype(bool)
+                hit = (self.bits[i >> np.uint64(3)] >> (i & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                 live, at = live[hit], at[hit]
                 if not len(live):
                     break
@@ -133,11 +106,6 @@ class LogBloom:
     def upper(self, level: np.ndarray) -> np.ndarray:
         return np.where(level > 0, self.least * self.level**level, 0.0)
 
-    def light(self) -> LogBloom:
-        out = LogBloom(self.least, self.level, self.probes)
-        out.size, out.words = self.size, self.words
-        return out
-
 
 def _tokens(t: textkit.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a slice's tokens, an end after each document's words, and each document's first token (n + 1)."""
@@ -172,26 +140,58 @@ def _grams(x: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarra
     return out[:order]
 
 
-def _distinct(g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The distinct keys, sorted, of n-grams of k + 1 words, each n-gram's place among them, and their bytes."""
-    wide = 6 if k else 8
-    return *np.unique(g >> np.uint64(64 - 8 * wide), return_inverse=True), wide
+def _unique(keys: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of `wide` bits, sorted, and each key's place among them."""
+    n = len(keys)
+    low = max(1, n.bit_length())
+    if not n or wide + low > 64:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort(keys << np.uint64(low) | np.arange(n, dtype=np.uint64))
+    key, at = both >> np.uint64(low), (both & np.uint64((1 << low) - 1)).astype(np.int64)
+    new = np.append(True, key[1:] != key[:-1])
+    inverse = np.empty(n, np.int64)
+    inverse[at] = np.cumsum(new) - 1
+    return key[new], inverse
+
 
+def _distinct(g: np.ndarray, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of n-grams of k + 1 words: the shard of each distinct key, the rest of the key, and each n-gram's place. Sorted by both."""
+    wide = 32 + bits if k else 64
+    keys, inverse = _unique(g >> np.uint64(64 - wide), wide)
+    return (keys >> np.uint64(wide - bits)).astype(np.int64), keys & np.uint64((1 << (wide - bits)) - 1), inverse
 
-def _packed(keys: np.ndarray, wide: int) -> bytes:
-    """Sorted keys by byte, highest first: what they share compresses."""
-    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - wide :].T.tobytes()
 
+def _planes(x: np.ndarray, wide: int) -> np.ndarray:
+    """Numbers by byte, highest first: what they share compresses."""
+    return x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - wide :].T
 
-def _unpacked(blob: bytes, wide: int) -> np.ndarray:
-    by = np.frombuffer(blob, np.uint8).reshape(wide, -1)
+
+def _numbers(by: np.ndarray) -> np.ndarray:
     out = np.zeros((by.shape[1], 8), np.uint8)
-    out[:, 8 - wide :] = by.T
+    out[:, 8 - len(by) :] = by.T
     return out.view(">u8").ravel().astype(np.uint64)
 
 
+def _small(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _large(blob: pa.Buffer | bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, size, codec="zstd"), np.uint8)
+
+
+def _ask(keys: np.ndarray, counts: np.ndarray, k: int) -> bytes:
+    """Sorted keys of one shard with their counts."""
+    return _small(np.concatenate([_planes(np.diff(keys, prepend=np.uint64(0)), 4 if k else 8), _planes(counts, 4)]))
+
+
+def _asked_for(blob: pa.Buffer | bytes, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    by = _large(blob, n * (8 if k else 12)).reshape(-1, n)
+    return np.cumsum(_numbers(by[:-4]), dtype=np.uint64), _numbers(by[-4:])
+
+
 def _slices(src: DataFrame) -> DataFrame:
-    """(slice, ids, training, texts, tokens, learned): the rows of src in slices; learned: tokens of training texts."""
+    """(slice, ids, training, sizes, texts, tokens, learned): the rows of src in slices, texts as their compressed bytes; learned: tokens of training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = TaskContext.get().partitionId() << 32
@@ -200,11 +200,16 @@ def _slices(src: DataFrame) -> DataFrame:
                 count = textkit.words(t).count + 1
                 train = b.column(2).slice(t.first, t.n)
                 learned = count[train.fill_null(False).to_numpy(zero_copy_only=False)].sum()
-                lists = [pa.ListArray.from_arrays(pa.array([0, t.n], pa.int32()), b.column(k).slice(t.first, t.n)) for k in (0, 2, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([name]), *lists, pa.array([int(count.sum())]), pa.array([int(learned)])], names=["slice", "ids", "training", "texts", "tokens", "learned"])
+                lists = [pa.ListArray.from_arrays(pa.array([0, t.n], pa.int32()), x) for x in (b.column(0).slice(t.first, t.n), train, pa.array(np.diff(t.offsets)))]
+                yield pa.RecordBatch.from_arrays([pa.array([name]), *lists, pa.array([_small(t.data)], pa.binary()), pa.array([int(count.sum())]), pa.array([int(learned)])], names=["slice", "ids", "training", "sizes", "texts", "tokens", "learned"])
                 name += 1
 
-    return src.select("id", "text", "training").mapInArrow(run, "slice long, ids array<long>, training array<boolean>, texts array<string>, tokens long, learned long")
+    return src.select("id", "text", "training").mapInArrow(run, "slice long, ids array<long>, training array<boolean>, sizes array<long>, texts binary, tokens long, learned long")
+
+
+def _texts(sizes: pa.Array, blob: pa.Buffer) -> textkit.Texts:
+    offsets = np.append(np.int64(0), np.cumsum(sizes.to_numpy(zero_copy_only=False)))
+    return textkit.Texts(0, _large(blob, int(offsets[-1])) if offsets[-1] else np.zeros(0, np.uint8), offsets)
 
 
 def _only(lists: pa.Array | pa.ChunkedArray) -> Iterator[pa.Array]:
@@ -215,58 +220,56 @@ def _only(lists: pa.Array | pa.ChunkedArray) -> Iterator[pa.Array]:
 
 
 def _asked(slices: DataFrame, order: int, bits: int) -> DataFrame:
-    """(shard, slice, keys, counts): what each slice asks of each shard; a shard is an order and the leading bits of its keys."""
+    """(shard, slice, n, keys): what each slice asks of each shard; a shard is an order and the leading bits of its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, train, texts in zip(b.column(0).to_pylist(), _only(b.column(1)), _only(b.column(2)), strict=True):
-                for t in textkit.slices(texts, 1 << 62):
-                    x, first = _tokens(t)
-                    weight = np.repeat(train.fill_null(False).to_numpy(zero_copy_only=False), np.diff(first))
-                    for k, (g, at) in enumerate(_grams(x, first, order)):
-                        keys, inverse, wide = _distinct(g, k)
-                        n = np.bincount(inverse, weight[at], len(keys)).astype("<u4")
-                        shard = (keys >> np.uint64(8 * wide - bits)).astype(np.int64)
-                        cuts = np.append(np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(keys)) if len(keys) else np.zeros(0, np.int64)
-                        spans = list(zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False))
-                        blobs = [pa.array([_packed(keys[i:j], wide) for i, j in spans], pa.binary()), pa.array([n[i:j].tobytes() for i, j in spans], pa.binary())]
-                        yield pa.RecordBatch.from_arrays([pa.array(shard[cuts - 1] + (k << bits)), pa.array(np.full(len(cuts), name)), *blobs], names=["shard", "slice", "keys", "counts"])
-
-    return slices.select("slice", "training", "texts").mapInArrow(run, "shard long, slice long, keys binary, counts binary")
+            for name, train, sizes, blob in zip(b.column(0).to_pylist(), _only(b.column(1)), _only(b.column(2)), b.column(3), strict=True):
+                x, first = _tokens(_texts(sizes, blob.as_buffer()))
+                weight = np.repeat(train.fill_null(False).to_numpy(zero_copy_only=False), np.diff(first))
+                for k, (g, at) in enumerate(_grams(x, first, order)):
+                    shard, keys, inverse = _distinct(g, k, bits)
+                    n = np.bincount(inverse, weight[at], len(keys)).astype(np.uint64)
+                    cuts = np.append(np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(keys)) if len(keys) else np.zeros(0, np.int64)
+                    spans = list(zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=False))
+                    blobs = pa.array([_ask(keys[i:j], n[i:j], k) for i, j in spans], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[cuts - 1] + (k << bits)), pa.array(np.full(len(cuts), name)), pa.array([j - i for i, j in spans], pa.int64()), blobs], names=["shard", "slice", "n", "keys"])
+
+    return slices.select("slice", "training", "sizes", "texts").mapInArrow(run, "shard long, slice long, n long, keys binary")
 
 
 def _answered(asked: DataFrame, bits: int, least: int) -> DataFrame:
-    """(shard, slice, values, distinct): the keys' training counts (of words, 8 bytes) or levels (1 byte); a row without a slice has the number of a shard's keys in training."""
-    scale = LogBloom(least)
+    """(shard, slice, n, values, distinct): the keys' training counts (of words, 8 bytes) or levels (1 byte); a row without a slice has the number of a shard's keys in training."""
 
     def solve(shard: int, slices: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        keys, inverse = _unique(np.concatenate([k for k, _ in parts]), 32 if shard >> bits else 64)
         n = np.bincount(inverse, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
         if shard >> bits:
-            levels = np.zeros(len(n), np.uint8)
-            levels[n >= least] = scale.levels(n[n >= least])
-            values = levels[inverse]
+            member = n >= least
+            model = LogBloom(least).fill(keys[member], n[member])
+            values = model.level_of(keys).astype(np.uint8)[inverse]
         else:
             values = n[inverse]
-        cuts = np.cumsum([0, *(len(k) for k, _ in parts)])
-        blobs = [values[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        sizes = [len(k) for k, _ in parts]
+        cuts = np.cumsum([0, *sizes])
+        blobs = [_small(_planes(values[a:z], 8) if values.itemsize > 1 else values[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
         m = len(parts)
-        return pa.RecordBatch.from_arrays([pa.array([shard] * (m + 1)), pa.array([*slices, None], pa.int64()), pa.array([*blobs, None], pa.binary()), pa.array([*[None] * m, int((n > 0).sum())], pa.int64())], names=["shard", "slice", "values", "distinct"])
+        return pa.RecordBatch.from_arrays([pa.array([shard] * (m + 1)), pa.array([*slices, None], pa.int64()), pa.array([*sizes, None], pa.int64()), pa.array([*blobs, None], pa.binary()), pa.array([*[None] * m, int((n > 0).sum())], pa.int64())], names=["shard", "slice", "n", "values", "distinct"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, slices, parts = None, [], []
         for b in batches:
-            for s, name, keys, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for s, name, n, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 if s != shard and parts:
                     yield solve(shard, slices, parts)
                     slices, parts = [], []
                 shard = s
                 slices.append(name)
-                parts.append((_unpacked(keys, 6 if s >> bits else 8), np.frombuffer(n, "<u4")))
+                parts.append(_asked_for(keys.as_buffer(), n, s >> bits))
         if parts:
             yield solve(shard, slices, parts)
 
-    return asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard long, slice long, values binary, distinct long")
+    return asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard long, slice long, n long, values binary, distinct long")
 
 
 def _score(x: np.ndarray, first: np.ndarray, counts: np.ndarray, levels: list[np.ndarray], docs: int, norm: float, least: int) -> np.ndarray:
@@ -320,19 +323,18 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text: str =
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = [f.split()[0] for f in kind.split(", ")]
-        ids, train, texts = (next(_only(left.column(c))) for c in ("ids", "training", "texts"))
-        (t,) = textkit.slices(texts, 1 << 62)
+        ids, train, sizes = (next(_only(left.column(c))) for c in ("ids", "training", "sizes"))
+        t = _texts(sizes, left.column("texts")[0].as_buffer())
         x, first = _tokens(t)
-        shard = right.column("shard").to_numpy()
-        rows, blobs = np.argsort(shard), right.column("values").to_pylist()
-        found = []
+        shard, n, blobs = right.column("shard").to_numpy(), right.column("n").to_numpy(), right.column("values")
+        rows, found = np.argsort(shard), []
         for k, (g, at) in enumerate(_grams(x, first, order)):
             # shards are ranges of keys, so their answers in order are those of the sorted keys
-            mine = b"".join(blobs[i] for i in rows if shard[i] >> bits == k)
-            values = np.frombuffer(mine, np.uint8 if k else "<i8").astype(np.int64)
+            mine = [_large(blobs[i].as_buffer(), int(n[i]) * (1 if k else 8)) for i in rows.tolist() if shard[i] >> bits == k]
+            values = [(v if k else _numbers(v.reshape(8, -1))).astype(np.int64) for v in mine]
             of = np.zeros(len(x), np.int64)
             if len(g):
-                of[at] = values[_distinct(g, k)[1]]
+                of[at] = np.concatenate(values)[_distinct(g, k, bits)[2]]
             found.append(of)
         lp = _score(x, first, found[0], found[1:], n_docs, norm, least)
         doc = np.repeat(np.arange(t.n), np.diff(first))
@@ -340,8 +342,8 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text: str =
         cols = [ids, train, pa.array(np.diff(first)), pa.array(total(found[0] > 0).astype(np.int64)), pa.array(total(np.log10(found[0] + 1.0))), pa.array(total(lp))]
         return pa.Table.from_arrays(cols, names=names)
 
-    own = slices.select("slice", "ids", "training", "texts").groupBy("slice")
-    scored = own.cogroup(answers.where("slice is not null").select("slice", "shard", "values").groupBy("slice")).applyInArrow(run, kind)
+    own = slices.select("slice", "ids", "training", "sizes", "texts").groupBy("slice")
+    scored = own.cogroup(answers.where("slice is not null").select("slice", "shard", "n", "values").groupBy("slice")).applyInArrow(run, kind)
     return scored.select(
         F.col("id").alias(id_col),
         "training",

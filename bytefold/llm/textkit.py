@@ -176,3 +176,39 @@ def majority(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
     """A bit is one if it is set in over half the values; no values: zero."""
     bits = counts * 2 > total[:, None]
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+class Counts:
+    """Exact counts (1 or more) of known 64-bit keys: open addressing over numpy arrays, 64 bytes a key at most."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(len(keys) * 2).bit_length())
+        self.key = np.zeros(1 << self.bits, np.uint64)
+        self.value = np.zeros(1 << self.bits, np.int64)
+        slot, mask = self._slot(keys), np.int64((1 << self.bits) - 1)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.value[slot[left]] == 0]
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.key[slot[put]], self.value[slot[put]] = keys[put], values[put]
+            done = np.zeros(len(keys), dtype=bool)
+            done[put] = True
+            left = left[~done[left]]
+            slot[left] = (slot[left] + 1) & mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's count; 0 if unknown."""
+        out = np.zeros(len(keys), np.int64)
+        slot, live = self._slot(keys), np.arange(len(keys))
+        mask = np.int64((1 << self.bits) - 1)
+        while len(live):
+            live = live[self.value[slot[live]] > 0]
+            same = self.key[slot[live]] == keys[live]
+            out[live[same]] = self.value[slot[live[same]]]
+            live = live[~same]
+            slot[live] = (slot[live] + 1) & mask
+        return out

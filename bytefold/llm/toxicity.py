@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bytefold.llm import textkit, workspace
-from bytefold.llm.lm import Counts
+from bytefold.llm.textkit import Counts
 
 POSITIVES = 2000
 UNLABELLED = 6000

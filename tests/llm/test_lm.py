@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bytefold.llm import lm
+from bytefold.llm import lm, textkit
 
 
 def tokens(t):
@@ -75,24 +75,45 @@ def test_rare_pairs_count_in_a_large_corpus(spark):
 
 def test_filter_levels():
     r = np.random.default_rng(1)
-    keys, counts = r.integers(0, 2**63, 20_000).astype(np.uint64), r.integers(5, 10_000, 20_000)
-    f = lm.LogBloom(5)
-    f.add(keys[:9000], counts[:9000])
-    f.add(keys[9000:], counts[9000:])
+    keys, counts = r.integers(0, 2**32, 20_000).astype(np.uint64), r.integers(5, 10_000, 20_000)
+    f = lm.LogBloom(5).fill(keys, counts)
     level = f.level_of(keys)
     assert (level >= f.levels(counts)).all() and (level == f.levels(counts)).mean() > 0.99
     low, high = f.lower(f.levels(counts)), f.upper(f.levels(counts))
     assert (low <= counts).all() and (counts <= high + 1e-6).all()
     assert (f.level_of(r.integers(0, 2**63, 20_000).astype(np.uint64)) > 0).mean() < 0.005
+    assert not lm.LogBloom(1).fill(keys[:0], counts[:0]).level_of(keys).any()
+
+
+@pytest.mark.parametrize("wide", [64, 32])
+def test_keys_travel_whole(wide):
+    r = np.random.default_rng(2)
+    raw = r.integers(0, 2**wide, 5000, dtype=np.uint64)[r.integers(0, 5000, 9000)]
+    keys, inverse = lm._unique(raw, wide)
+    assert (np.diff(keys.astype(object)) > 0).all() and (keys[inverse] == raw).all()
+    counts = r.integers(0, 2**32, len(keys)).astype(np.uint64)
+    a, n = lm._asked_for(lm._ask(keys, counts, wide == 32), len(keys), wide == 32)
+    assert (a == keys).all() and (n == counts).all()
+
+
+def test_a_text_scores_alike_beside_a_corpus_twenty_times_as_large(spark):
+    """The model's n-grams do not depend on the corpus size: once seen ones count beside many others too."""
+    r = random.Random(8)
+    seen = [(700, "amber fox quick amber stone"), (705, "quick amber fox"), (706, "nothing of it")]
+    for n in (20, 400):
+        rows = [(i, " ".join(f"v{r.randrange(300)}" for _ in range(200))) for i in range(n)] + seen
+        got = {x["doc_id"]: x["score"] for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), ~lm.held_out("doc_id", 7, 2)).collect()}
+        want = {x[0]: x[6] for x in brute(rows, 10**12)}
+        assert all(got[d] == pytest.approx(want[d], rel=1e-6 if d >= 700 else 0.02) for d in want)
 
 
 def test_counts_table():
     r = np.random.default_rng(2)
     keys = np.unique(r.integers(0, 2**63, 5000).astype(np.uint64))
-    table = lm.Counts(keys, np.arange(len(keys)) + 1)
+    table = textkit.Counts(keys, np.arange(len(keys)) + 1)
     assert (table.get(keys) == np.arange(len(keys)) + 1).all()
     assert not table.get(np.setdiff1d(keys + np.uint64(1), keys)).any()
-    assert not lm.Counts(keys[:0], keys[:0]).get(keys).any()
+    assert not textkit.Counts(keys[:0], keys[:0]).get(keys).any()
 
 
 def test_empty_table(spark):
