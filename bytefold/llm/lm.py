@@ -12,7 +12,7 @@ instead; shards grow in number with the tokens and the driver gets three numbers
 Unigram counts are answered exactly, since the base score needs them exact.
 
 Sizes. Within a shard a bigram or trigram is 32 bits, so of up to SHARD_TOKENS distinct
-ones at most one in 2,000 shares its hash with another, at every corpus size; words have
+ones at most one in 4,000 shares its hash with another, at every corpus size; words have
 64 bits. A slice's sorted keys travel as differences by byte, compressed: some three
 bytes a key. A key that all slices share costs a shard one entry a slice of SLICE bytes.
 
@@ -27,7 +27,6 @@ count and are scored each. Only id and text are read. An empty table gives no ro
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 
@@ -41,7 +40,7 @@ from bytefold.llm import textkit, workspace
 
 LEAST = 1
 SLICE = 4_000_000
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 LEVEL = 1.5
 PROBES = 16
 ORDER = 3
@@ -313,9 +312,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text: str =
         least = max(1, -(-tokens // entries))
     bits = max(5, (int(size["n"]) // SHARD_TOKENS).bit_length())
     answers = workspace.keep(_answered(_asked(slices, order, bits), bits, least), "answers")
-    # the shuffle of the keys is done with; Spark removes its files once the driver's garbage is collected
-    gc.collect()
-    docs.sparkSession._jvm.System.gc()
+    workspace.release(docs.sparkSession)
     # the words of training: one number a shard
     distinct = answers.where(F.col("slice").isNull() & (F.col("shard") < 1 << bits)).agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()["v"]
     norm = math.log10(tokens + int(distinct) + 1)

@@ -7,8 +7,10 @@ executor and cuts the lineage, and Parquet keeps it smaller than an RDD checkpoi
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,3 +56,11 @@ def drop(*tables: DataFrame) -> None:
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more, which it does as the driver's garbage is collected."""
+    for _ in range(2):  # Python's side lets go of the plans with a delay
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
