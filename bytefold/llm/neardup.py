@@ -3,17 +3,18 @@
 SimHash fingerprints at 4 bits or fewer reach only the closest of such copies (about a
 twentieth of the pairs at Jaccard 0.8 on the test corpus), so candidates come from two
 sides: links of fingerprints on the popcount grid, and bands of shingle minima, which
-miss a pair at 0.8 about once in 500. Every candidate is verified by the exact Jaccard
+miss a pair at 0.8 about once in 38,000 and closer ones less. Every candidate is verified by the exact Jaccard
 similarity of the two shingle sets. Equal texts (after lower-casing, by word) are one
 node from the start, so a copied text costs what any other does.
 
 Within a band's bucket, a member is paired with its most alike earlier member and its
 most alike member of all, judged by the shares of equal minima, if these allow 0.8 at
 all. So a bucket emits at most two pairs a member and never its pairs. A large bucket is
-read in blocks, with one member of each group so far carried on. These pairs only join
-most of a group cheaply. Once they are verified, each bucket whose members are still in
+dealt to several tasks in parts, and one member of each group of a part goes on to a
+second round, read in blocks. These pairs only join most of a group cheaply. Once they are verified, each bucket whose members are still in
 several groups proposes all its pairs across groups that the shares allow, so that every
-such pair is either within one verified group or verified itself. The cells of the
+such pair is either within one verified group or verified itself; a bucket's largest
+group is dealt out in parts again, with the members outside it sent to each. The cells of the
 popcount grid do the same with fingerprints at 4 bits or fewer.
 
 Nulls: a null text has no words, and all texts without words are equal. A null id sorts
@@ -34,9 +35,9 @@ from bytefold.llm import graph, simhash, textkit, workspace
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS = 16
-BAND = 5
-ALLOW = 0.65  # estimates from 80 minima err by 0.045 at 0.8
+BANDS = 20
+BAND = 4
+ALLOW = 0.55  # estimates from 80 minima err by 0.045 at 0.8, so one in some 10**8 falls below
 BLOCK = 2000
 
 _rng = np.random.default_rng(99)
@@ -142,85 +143,136 @@ def _best_pairs(m: np.ndarray, allow: float) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _pairs_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, value, node, minima) sorted by bucket in, pairs out."""
+    """Rows (band, value, salt, salts, node, minima) sorted by bucket in; pairs out, and of a bucket in parts a member of each group, without a partner."""
 
     def solve(node: np.ndarray, m: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
         i, j, root = _best_pairs(m, ALLOW)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"]), np.unique(root)
+        return out(np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), np.unique(root)
+
+    def out(a: np.ndarray, b: np.ndarray | None, key: tuple = (0, 0)) -> pa.RecordBatch:
+        cols = [np.full(len(a), key[0]), np.full(len(a), key[1]), a]
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)], names=["band", "value", "a", "b"])
+
+    def end(key: tuple, node: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(node) > 1:
+            found, roots = solve(node, m)
+            yield found
+            node = node[roots]
+        if key[3] > 1:
+            yield out(node, None, key)
 
     key, node, m = None, np.zeros(0, np.int64), np.zeros((0, BANDS * BAND), np.uint32)
     for x in batches:
-        band, value, nodes = (np.asarray(x.column(k)).astype(np.int64) for k in range(3))
-        rows = np.frombuffer(b"".join(x.column(3).to_pylist()), "<u4").reshape(-1, BANDS * BAND)
-        cuts = np.flatnonzero((band[1:] != band[:-1]) | (value[1:] != value[:-1])) + 1
-        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(band)], strict=True):
+        keys = np.stack([np.asarray(x.column(k)).astype(np.int64) for k in range(4)], axis=1)
+        nodes = np.asarray(x.column(4)).astype(np.int64)
+        rows = np.frombuffer(b"".join(x.column(5).to_pylist()), "<u4").reshape(-1, BANDS * BAND)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(nodes)], strict=True):
             if a == z:
                 continue
-            if key is not None and (band[a], value[a]) != key:
-                if len(node) > 1:
-                    yield solve(node, m)[0]
+            if key is not None and tuple(keys[a]) != key:
+                yield from end(key, node, m)
                 node, m = node[:0], m[:0]
-            key = (band[a], value[a])
+            key = tuple(keys[a])
             for at in range(a, z, BLOCK):
                 node, m = np.append(node, nodes[at : min(z, at + BLOCK)]), np.concatenate([m, rows[at : min(z, at + BLOCK)]])
                 if len(node) >= BLOCK:
-                    out, roots = solve(node, m)
-                    yield out
+                    found, roots = solve(node, m)
+                    yield found
                     node, m = node[roots], m[roots]
-    if len(node) > 1:
-        yield solve(node, m)[0]
+    if key is not None:
+        yield from end(key, node, m)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The node, root and last column of each run of rows with equal first two columns."""
-    key, parts = None, []
-    for x in batches:
-        cols = [np.asarray(x.column(k)).astype(np.int64) for k in range(4)]
-        last = x.column(4)
-        last = np.frombuffer(b"".join(last.to_pylist()), "<u4").reshape(-1, BANDS * BAND) if pa.types.is_binary(last.type) or pa.types.is_large_binary(last.type) else np.asarray(last).view(np.uint64)
-        cuts = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
-        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(last)], strict=True):
-            if a == z:
-                continue
-            if parts and (cols[0][a], cols[1][a]) != key:
-                yield [np.concatenate(p) for p in zip(*parts, strict=True)]
-                parts = []
-            key = (cols[0][a], cols[1][a])
-            parts.append((cols[2][a:z], cols[3][a:z], last[a:z]))
-    if parts:
-        yield [np.concatenate(p) for p in zip(*parts, strict=True)]
+def _in_buckets(live: DataFrame) -> DataFrame:
+    return live.repartition("band", "value", "salt").sortWithinPartitions("band", "value", "salt", "node").mapInArrow(_pairs_of_buckets, "band long, value long, a long, b long")
+
+
+def _banded(rows: DataFrame, shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) pairs of the buckets `shared` (band, value, m rows); a bucket beyond BLOCK rows is solved in parts first."""
+    minima = nodes.select("node", "minima")
+    salted = rows.join(shared, ["band", "value"]).withColumn("salts", F.ceil(F.col("m") / BLOCK))
+    salted = salted.select("band", "value", F.expr("pmod(xxhash64(node), salts)").alias("salt"), "salts", "node").join(minima, "node")
+    found = workspace.keep(_in_buckets(salted.select("band", "value", "salt", "salts", "node", "minima")), "parts")
+    heads = found.where("b is null").select("band", "value", F.col("a").alias("node"))
+    pairs = found.where("b is not null").select("a", "b")
+    if not heads.limit(1).count():
+        return pairs
+    again = heads.select("band", "value", F.lit(0).cast("long").alias("salt"), F.lit(1).cast("long").alias("salts"), "node").join(minima, "node")
+    return pairs.unionByName(_in_buckets(again.select("band", "value", "salt", "salts", "node", "minima")).where("b is not null").select("a", "b"))
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether the minima (or fingerprints) of each of x and each of y allow a link."""
+    """Whether the minima (or fingerprints) of x[k] and y[k] allow a link."""
     if x.ndim == 1:
-        return np.bitwise_count(x[:, None] ^ y[None, :]) <= 4
-    return (x[:, None, :] == y[None, :, :]).mean(2) >= ALLOW
+        return np.bitwise_count(x ^ y) <= 4
+    return (x == y).mean(1) >= ALLOW
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, key, node, root, minima or fp) sorted by keys in; all pairs of a bucket out that are alike and of different roots."""
-    for node, root, m in _buckets(batches):
-        names, count = np.unique(root, return_counts=True)
-        main = root == names[count.argmax()]
-        # one side of each such pair is outside the largest group
-        few = np.flatnonzero(~main)
-        for at in range(0, len(few), 64):
-            i = few[at : at + 64]
-            for b in range(0, len(node), BLOCK):
-                j = np.arange(b, min(len(node), b + BLOCK))
-                ok = (root[i][:, None] != root[j][None, :]) & (main[j][None, :] | (j[None, :] > i[:, None]))
-                if ok.any():
-                    p, q = np.nonzero(ok & _alike(m[i], m[j]))
-                    p, q = node[i[p]], node[j[q]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+    """Rows (key, key, salt, asks, node, root, main, minima or fp) sorted by the first four in; pairs out of a row that asks and one that answers, if they are alike and of different roots."""
+
+    def solve(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """All buckets in cols are whole; rows that answer come before those that ask."""
+        keys, asks, node, root, main, last = cols
+        new = np.append(True, (keys[1:] != keys[:-1]).any(1))
+        first = np.flatnonzero(new)
+        bucket = np.cumsum(new) - 1
+        answers = np.add.reduceat(~asks, first).astype(np.int64)
+        i = np.flatnonzero(asks)
+        each = answers[bucket[i]]
+        # askers in runs that have at most some 100,000 pairs
+        run = np.cumsum(each) // 100_000
+        for part in np.split(i, np.flatnonzero(np.diff(run)) + 1):
+            n = answers[bucket[part]]
+            for step in range(0, int(n.max(initial=0)), 100_000):
+                m = np.clip(n - step, 0, 100_000)
+                p = np.repeat(part, m)
+                q = first[bucket[p]] + step + np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m)
+                # two rows outside the largest group both ask: one of them is enough
+                ok = (root[p] != root[q]) & ((main[p] == root[q]) | (node[p] < node[q]))
+                p, q = p[ok], q[ok]
+                ok = _alike(last[p], last[q])
+                p, q = node[p[ok]], node[q[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+    rest: list[np.ndarray] | None = None
+    for x in batches:
+        if not x.num_rows:
+            continue
+        last = x.column(7)
+        binary = pa.types.is_binary(last.type) or pa.types.is_large_binary(last.type)
+        cols = [
+            np.stack([np.asarray(x.column(k)).astype(np.int64) for k in range(3)], axis=1),
+            x.column(3).to_numpy(zero_copy_only=False).astype(bool),
+            *(np.asarray(x.column(k)).astype(np.int64) for k in (4, 5, 6)),
+            np.frombuffer(b"".join(last.to_pylist()), "<u4").reshape(-1, BANDS * BAND) if binary else np.asarray(last).view(np.uint64),
+        ]
+        if rest is not None:
+            cols = [np.concatenate(c) for c in zip(rest, cols, strict=True)]
+        keys = cols[0]
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        whole = int(cuts[-1]) if len(cuts) else 0
+        if whole:
+            yield from solve([c[:whole] for c in cols])
+        rest = [c[whole:] for c in cols]
+    if rest is not None:
+        yield from solve(rest)
 
 
 def _mixed(rows: DataFrame, keys: list[str], last: DataFrame) -> DataFrame:
-    """All pairs across roots in the buckets of rows (keys, node, root); last: (node, minima or fp)."""
-    several = rows.groupBy(*keys).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select(*keys)
-    some = rows.join(several, keys).join(last, "node").select(*keys, "node", "root", last.columns[1])
-    return some.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across, "a long, b long")
+    """All pairs across roots in the buckets of rows (keys, node, root); last: (node, minima or fp).
+
+    The rows outside a bucket's largest group ask all rows of the bucket, which are dealt in parts.
+    """
+    sizes = rows.groupBy(*keys, "root").agg(F.count("*").alias("n")).groupBy(*keys)
+    several = sizes.agg(F.max_by("root", "n").alias("main"), F.sum("n").alias("m"), F.count("*").alias("groups")).where("groups > 1")
+    several = several.select(*keys, "main", F.ceil(F.col("m") / BLOCK).alias("salts"))
+    some = rows.join(several, keys)
+    answers = some.select(*keys, F.expr("pmod(xxhash64(node), salts)").alias("salt"), F.lit(False).alias("asks"), "node", "root", "main")
+    asks = some.where("root <> main").select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("asks"), "node", "root", "main")
+    both = answers.unionByName(asks).join(last, "node").select(*keys, "salt", "asks", "node", "root", "main", last.columns[1])
+    return both.repartition(*keys, "salt").sortWithinPartitions(*keys, "salt", "asks").mapInArrow(_across, "a long, b long")
 
 
 def links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -231,15 +283,14 @@ def links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) ->
     pairs = near.join(hub("a"), "a").join(hub("b"), "b").select(F.col("hub_a").alias("a"), F.col("hub_b").alias("b"))
     pairs = pairs.unionByName(nodes.join(fps, "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))
     rows = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    shared = rows.groupBy("band", "value").agg(F.count("*").alias("m")).where("m > 1").select("band", "value")
-    live = rows.join(shared, ["band", "value"]).join(nodes.select("node", "minima"), "node").select("band", "value", "node", "minima")
-    banded = live.repartition("band", "value").sortWithinPartitions("band", "value", "node").mapInArrow(_pairs_of_buckets, "a long, b long")
+    shared = rows.groupBy("band", "value").agg(F.count("*").alias("m")).where("m > 1")
+    banded = _banded(rows, shared, nodes)
     every = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(banded).distinct()
     every = workspace.keep(every, "tried")
     first = workspace.keep(_verify(every, nodes.select("node", "n"), sets, similarity), "first")
     groups = graph.components(first)
     rooted = lambda x: x.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    across = _mixed(rooted(rows.join(shared, ["band", "value"])), ["band", "value"], nodes.select("node", "minima"))
+    across = _mixed(rooted(rows.join(shared.select("band", "value"), ["band", "value"])), ["band", "value"], nodes.select("node", "minima"))
     # the forest of fingerprints loses pairs when its own links fail: all of a cell's pairs across groups, equal fingerprints included
     dims = simhash._cells(nodes.select("fp").distinct(), 4, 6).select("c", "k", "fp")
     cells = rooted(nodes.select("node", "fp")).join(dims, "fp").select("c", "k", "node", "root")

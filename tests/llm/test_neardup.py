@@ -101,3 +101,27 @@ def test_a_bucket_of_several_blocks_forgets_nobody(spark):
     rows[1500] = (1501, fp[1501], 7, slice(0, 20), NEAR)
     rows.append((neardup.BLOCK + 15, fp[-1], 7, slice(0, 20), NEARER))
     assert (1501, neardup.BLOCK + 15) in linked(spark, rows)
+
+
+def test_dense_families_in_parts_leave_no_pair(spark, monkeypatch):
+    """12 families of 60 texts of 120 words with up to three words replaced; buckets are dealt in parts of 25."""
+    monkeypatch.setattr(neardup, "BLOCK", 25)
+    r = random.Random(7)
+    rows = []
+    for f in range(12):
+        base = [f"f{f}w{r.randrange(4000)}" for _ in range(120)]
+        for _ in range(60):
+            w = list(base)
+            for k in r.sample(range(120), r.randrange(4)):
+                w[k] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    kept = [(x["doc_id"], x["text"]) for x in neardup.distinct(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert not [(a, b) for i, (a, s) in enumerate(kept) for b, t in kept[:i] if a // 60 == b // 60 and jaccard(s, t) >= 0.8]
+    # as many stay as there are classes of the links at 0.8
+    root = list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, s in rows:
+        for b, t in rows[a // 60 * 60 : a]:
+            if jaccard(s, t) >= 0.8:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    assert sorted(x for x, _ in kept) == sorted({find(x) for x in root})
