@@ -24,7 +24,7 @@ stay as they came. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -202,15 +202,8 @@ def _banded(rows: DataFrame, shared: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.unionByName(_in_buckets(again.select("band", "value", "salt", "salts", "node", "minima")).where("b is not null").select("a", "b"))
 
 
-def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether the minima (or fingerprints) of x[k] and y[k] allow a link."""
-    if x.ndim == 1:
-        return np.bitwise_count(x ^ y) <= 4
-    return (x == y).mean(1) >= ALLOW
-
-
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, key, salt, asks, node, root, main, minima or fp) sorted by the first four in; pairs out of a row that asks and one that answers, if they are alike and of different roots."""
+    """Rows (key, key, salt, asks, node, root, main, fp) sorted by the first four in; pairs out of a row that asks and one that answers, of different roots and with fingerprints at 4 bits or fewer."""
 
     def solve(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """All buckets in cols are whole; rows that answer come before those that ask."""
@@ -232,7 +225,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # two rows outside the largest group both ask: one of them is enough
                 ok = (root[p] != root[q]) & ((main[p] == root[q]) | (node[p] < node[q]))
                 p, q = p[ok], q[ok]
-                ok = _alike(last[p], last[q])
+                ok = np.bitwise_count(last[p] ^ last[q]) <= 4
                 p, q = node[p[ok]], node[q[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
@@ -240,13 +233,11 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
         if not x.num_rows:
             continue
-        last = x.column(7)
-        binary = pa.types.is_binary(last.type) or pa.types.is_large_binary(last.type)
         cols = [
             np.stack([np.asarray(x.column(k)).astype(np.int64) for k in range(3)], axis=1),
             x.column(3).to_numpy(zero_copy_only=False).astype(bool),
             *(np.asarray(x.column(k)).astype(np.int64) for k in (4, 5, 6)),
-            np.frombuffer(b"".join(last.to_pylist()), "<u4").reshape(-1, BANDS * BAND) if binary else np.asarray(last).view(np.uint64),
+            np.asarray(x.column(7)).view(np.uint64),
         ]
         if rest is not None:
             cols = [np.concatenate(c) for c in zip(rest, cols, strict=True)]
@@ -260,19 +251,76 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve(rest)
 
 
-def _mixed(rows: DataFrame, keys: list[str], last: DataFrame) -> DataFrame:
-    """All pairs across roots in the buckets of rows (keys, node, root); last: (node, minima or fp).
+def _joining(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, key, salt, asks, node, root, main, minima, set) sorted by the first four in; verified links that join two groups out."""
+
+    def solve(part: list[pa.RecordBatch]) -> pa.RecordBatch:
+        asks, node, root, main = (np.concatenate([np.asarray(x.column(k).to_numpy(zero_copy_only=False)) for x in part]).astype(np.int64) for k in (3, 4, 5, 6))
+        minima = np.frombuffer(b"".join(v for x in part for v in x.column(7).to_pylist()), "<u4").reshape(-1, BANDS * BAND)
+        sets = [np.frombuffer(v.as_buffer(), "<u4") for x in part for v in x.column(8)]
+        n = int((asks == 0).sum())
+        size = np.array([len(v) for v in sets])
+        ends = np.cumsum(size[:n])
+        starts = ends - size[:n]
+        names, own = np.unique(np.concatenate([np.zeros(0, "<u4"), *sets[:n]]), return_inverse=True)
+        mark, group = np.zeros(len(names) + 1, dtype=bool), root.copy()
+        out: list[tuple[int, int]] = []
+        for i in range(n, len(node)):
+            # two rows outside the largest group both ask: one of them is enough
+            ok = (group[:n] != group[i]) & ((root[:n] == main[0]) | (node[i] < node[:n]))
+            ok &= np.minimum(size[:n], size[i]) >= similarity * np.maximum(size[:n], size[i]) - 1e-9
+            j = np.flatnonzero(ok)
+            j = j[(minima[j] == minima[i]).mean(1) >= ALLOW] if len(j) else j
+            if not len(j):
+                continue
+            at = np.minimum(np.searchsorted(names, sets[i]), len(names) - 1)
+            mine = at[names[at] == sets[i]]
+            mark[mine] = True
+            if len(j) * 8 < n:
+                both = np.array([mark[own[starts[k] : ends[k]]].sum() for k in j])
+            else:
+                run = np.append(0, np.cumsum(mark[own]))
+                both = run[ends[j]] - run[starts[j]]
+            mark[mine] = False
+            for k in j[both >= similarity * (size[j] + size[i] - both) - 1e-9]:
+                if group[k] != group[i]:
+                    out.append((min(node[i], node[k]), max(node[i], node[k])))
+                    group[group == group[i]] = group[k]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    key, part = None, []
+    for x in batches:
+        keys = np.stack([np.asarray(x.column(k)).astype(np.int64) for k in range(3)], axis=1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+            if a == z:
+                continue
+            if part and tuple(keys[a]) != key:
+                yield solve(part)
+                part = []
+            key = tuple(keys[a])
+            part.append(x.slice(a, z - a))
+    if part:
+        yield solve(part)
+
+
+def _mixed(rows: DataFrame, keys: list[str], last: DataFrame, run: Callable) -> DataFrame:
+    """Buckets of rows (keys, node, root) in several groups, handed to run with the columns of last (node, ...).
 
     The rows outside a bucket's largest group ask all rows of the bucket, which are dealt in parts.
     """
     sizes = rows.groupBy(*keys, "root").agg(F.count("*").alias("n")).groupBy(*keys)
     several = sizes.agg(F.max_by("root", "n").alias("main"), F.sum("n").alias("m"), F.count("*").alias("groups")).where("groups > 1")
     several = several.select(*keys, "main", F.ceil(F.col("m") / BLOCK).alias("salts"))
-    some = rows.join(several, keys)
+    some = rows.join(workspace.within(workspace.keep(several, "several")), keys)
     answers = some.select(*keys, F.expr("pmod(xxhash64(node), salts)").alias("salt"), F.lit(False).alias("asks"), "node", "root", "main")
     asks = some.where("root <> main").select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("asks"), "node", "root", "main")
-    both = answers.unionByName(asks).join(last, "node").select(*keys, "salt", "asks", "node", "root", "main", last.columns[1])
-    return both.repartition(*keys, "salt").sortWithinPartitions(*keys, "salt", "asks").mapInArrow(_across, "a long, b long")
+    both = workspace.keep(answers.unionByName(asks), "mixed")
+    if "set" in last.columns:
+        wanted = workspace.keep(both.select("node").distinct(), "wanted")
+        last = last.join(workspace.within(wanted), "node", "left_semi").groupBy("node").agg(*[F.min(c).alias(c) for c in last.columns if c != "node"])
+    both = both.join(last, "node").select(*keys, "salt", "asks", "node", "root", "main", *last.columns[1:])
+    return both.repartition(*keys, "salt").sortWithinPartitions(*keys, "salt", "asks", "node").mapInArrow(run, "a long, b long")
 
 
 def links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -290,13 +338,16 @@ def links(nodes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) ->
     first = workspace.keep(_verify(every, nodes.select("node", "n"), sets, similarity), "first")
     groups = graph.components(first)
     rooted = lambda x: x.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    across = _mixed(rooted(rows.join(shared.select("band", "value"), ["band", "value"])), ["band", "value"], nodes.select("node", "minima"))
+    crowded = rooted(rows.join(shared.select("band", "value"), ["band", "value"]))
+    joined = workspace.keep(_mixed(crowded, ["band", "value"], nodes.select("node", "minima").join(sets, "node"), lambda b: _joining(b, similarity)), "joined")
     # the forest of fingerprints loses pairs when its own links fail: all of a cell's pairs across groups, equal fingerprints included
+    groups = graph.components(first.unionByName(joined))
+    rooted = lambda x: x.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     dims = simhash._cells(nodes.select("fp").distinct(), 4, 6).select("c", "k", "fp")
     cells = rooted(nodes.select("node", "fp")).join(dims, "fp").select("c", "k", "node", "root")
-    across = across.unionByName(_mixed(cells, ["c", "k"], nodes.select("node", "fp")))
+    across = _mixed(cells, ["c", "k"], nodes.select("node", "fp"), _across)
     more = workspace.keep(across.distinct().join(every, ["a", "b"], "left_anti"), "more")
-    return first.unionByName(_verify(more, nodes.select("node", "n"), sets, similarity))
+    return first.unionByName(joined).unionByName(_verify(more, nodes.select("node", "n"), sets, similarity))
 
 
 def surplus(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
