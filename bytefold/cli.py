@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bytefold.functions.ship import ship
 from bytefold.operators.detection import DISC, FAMILIES
-from bytefold.plans.convert import Params, convert_files, summary
+from bytefold.plans.convert import Params, convert_files, failures, summary
 from bytefold.sources import files
 
 
@@ -57,8 +57,8 @@ def main(argv: list[str] | None = None) -> int:
     files.write_files(done.where("error is null"), "out_path").write.mode("overwrite").format("noop").save()
     s = summary(done).first()
     print(f"total {s['total']}, successful {s['successful']}, failed {s['failed']}, size {s['percent']} %")
-    for f in s["failed_files"]:
-        print(f"failed: {f}", file=sys.stderr)
+    for f in failures(done).orderBy("path").toLocalIterator():
+        print(f"failed: {f['path']}", file=sys.stderr)
     done.unpersist()
     return int(s["failed"] > 0)
 

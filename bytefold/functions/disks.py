@@ -12,6 +12,8 @@ import struct
 import zlib
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from bytefold.functions.codecs import need
 
 Tree = list[tuple[str, bool, bytes]]
@@ -68,33 +70,37 @@ def vhd_encode(raw: bytes, dynamic: bool = False, when: int = 0, ident: bytes =
     return b"".join([foot, _summed(head, 36), struct.pack(f">{n}I", *bat).ljust(bat_size, b"\xff"), *body, foot])
 
 
-def vhd_decode(b: bytes) -> bytes:
-    """The raw disk; blocks that are not there are zeros."""
+def _vhd_extents(b: bytes) -> tuple[int, int, list[int]]:
+    """Disk size, block size and where each block's data starts; -1: a block of zeros."""
     need(len(b) >= 512 and b[-512:-504] == b"conectix")
     f = _FOOTER.unpack_from(b, len(b) - 512)
     size, kind = f[9], f[11]
     need(kind in (2, 3), "UNSUPPORTED_CONVERSION")
     if kind == 2:
         need(len(b) - 512 >= size, "CORRUPTED_DATA")
-        return b[:size]
+        return size, size, [0]
     at = f[3]
     need(at + 1024 <= len(b) and b[at : at + 8] == b"cxsparse")
     table, _, n, block = struct.unpack_from(">QIII", b, at + 16)
     need(block > 0 and n >= -(-size // block) and table + 4 * n <= len(b), "CORRUPTED_DATA")
     skip = -(-block // 512 // 8 // 512) * 512
-    parts = []
-    for sector in struct.unpack_from(f">{n}I", b, table):
-        start = sector * 512 + skip
-        need(sector == 0xFFFFFFFF or start + block <= len(b), "CORRUPTED_DATA")
-        parts.append(bytes(block) if sector == 0xFFFFFFFF else b[start : start + block])
-    return b"".join(parts)[:size]
+    starts = [-1 if s == 0xFFFFFFFF else s * 512 + skip for s in struct.unpack_from(f">{n}I", b, table)]
+    need(all(s < 0 or s + block <= len(b) for s in starts), "CORRUPTED_DATA")
+    return size, block, starts
+
+
+def vhd_decode(b: bytes) -> bytes:
+    """The raw disk; blocks that are not there are zeros."""
+    size, block, starts = _vhd_extents(b)
+    return b"".join(bytes(block) if s < 0 else b[s : s + block] for s in starts)[:size]
 
 
 def vhd_sector(b: bytes, sector: int) -> bytes:
-    """One sector of the disk; of a block that is not there, zeros."""
-    raw = vhd_decode(b)
-    need(0 <= sector < len(raw) // 512, "INVALID_ARGUMENT")
-    return raw[sector * 512 : sector * 512 + 512]
+    """One sector of the disk, read on its own; of a block that is not there, zeros."""
+    size, block, starts = _vhd_extents(b)
+    need(0 <= sector < size // 512, "INVALID_ARGUMENT")
+    i, inside = divmod(sector * 512, block)
+    return bytes(512) if starts[i] < 0 else b[starts[i] + inside : starts[i] + inside + 512]
 
 
 def vhd_verified(b: bytes) -> bool:
@@ -109,15 +115,23 @@ def vhd_verified(b: bytes) -> bool:
 HUNK = 16384
 
 
-def crc16(b: bytes) -> int:
-    c = 0xFFFF
-    for x in b:
-        c ^= x
-        for _ in range(8):
-            c = c >> 1 ^ (0xA001 if c & 1 else 0)
+def _crc16_step(n: int, bits: int) -> np.ndarray:
+    c = np.arange(n, dtype=np.uint32)
+    for _ in range(bits):
+        c = c >> 1 ^ np.where(c & 1, 0xA001, 0).astype(np.uint32)
     return c
 
 
+_CRC16 = [_crc16_step(1 << 16, 16).tolist(), _crc16_step(1 << 8, 8).tolist()]  # by two bytes and by one
+
+
+def crc16(b: bytes) -> int:
+    c, (two, one) = 0xFFFF, _CRC16
+    for x in np.frombuffer(b, "<u2", len(b) // 2).tolist():
+        c = two[c ^ x]
+    return c >> 8 ^ one[(c ^ b[-1]) & 255] if len(b) % 2 else c
+
+
 def chd_encode(raw: bytes, hunk: int = HUNK, packed: bool = True) -> bytes:
     n = -(-len(raw) // hunk)
     rows, body, at = [], [], 124 + 12 * n
@@ -132,24 +146,44 @@ def chd_encode(raw: bytes, hunk: int = HUNK, packed: bool = True) -> bytes:
     return b"".join([head.ljust(124, b"\0"), *rows, *body])
 
 
-def chd_decode(b: bytes, verify: bool = False) -> bytes:
+def chd_size(b: bytes) -> tuple[int, int, int]:
+    """Disk size, hunk size and number of hunks."""
     need(len(b) >= 124 and b[:8] == b"MComprHD")
-    size, table, _, hunk = struct.unpack_from(">QQQI", b, 32)
+    size, _, _, hunk = struct.unpack_from(">QQQI", b, 32)
     need(hunk > 0, "CORRUPTED_DATA")
-    out = []
-    for i in range(-(-size // hunk)):
-        row = b[table + 12 * i : table + 12 * i + 12]
-        need(len(row) == 12, "CORRUPTED_DATA")
-        at, n, kind = int.from_bytes(row[:6], "big"), int.from_bytes(row[6:9], "big"), row[11]
-        data = b[at : at + n]
-        need(len(data) == n and (not verify or crc16(data) == int.from_bytes(row[9:11], "big")), "CORRUPTED_DATA")
-        if kind == 0:
-            try:
-                data = zlib.decompressobj(-15).decompress(data)
-            except zlib.error:
-                need(False, "CORRUPTED_DATA")
-        out.append(data.ljust(hunk, b"\0")[:hunk] if kind < 2 else bytes(hunk))
-    return b"".join(out)[:size]
+    return size, hunk, -(-size // hunk)
+
+
+def chd_map(b: bytes) -> list[tuple[int, int, int, int]]:
+    """(offset, length, crc, kind) of each hunk; kind 0 is deflated, 1 raw, others are zeros."""
+    table, n = struct.unpack_from(">Q", b, 40)[0], chd_size(b)[2]
+    need(table + 12 * n <= len(b), "CORRUPTED_DATA")
+    rows = (b[table + 12 * i : table + 12 * i + 12] for i in range(n))
+    return [(int.from_bytes(r[:6], "big"), int.from_bytes(r[6:9], "big"), int.from_bytes(r[9:11], "big"), r[11]) for r in rows]
+
+
+def _hunk(b: bytes, row: tuple[int, int, int, int], size: int, verify: bool) -> bytes:
+    at, n, crc, kind = row
+    data = b[at : at + n]
+    need(len(data) == n and (not verify or crc16(data) == crc), "CORRUPTED_DATA")
+    if kind == 0:
+        try:
+            data = zlib.decompressobj(-15).decompress(data)
+        except zlib.error:
+            need(False, "CORRUPTED_DATA")
+    return data.ljust(size, b"\0")[:size] if kind < 2 else bytes(size)
+
+
+def chd_hunk(b: bytes, i: int, verify: bool = False) -> bytes:
+    """One hunk, read on its own."""
+    rows = chd_map(b)
+    need(0 <= i < len(rows), "INVALID_ARGUMENT")
+    return _hunk(b, rows[i], chd_size(b)[1], verify)
+
+
+def chd_decode(b: bytes, verify: bool = False) -> bytes:
+    size, hunk, _ = chd_size(b)
+    return b"".join(_hunk(b, row, hunk, verify) for row in chd_map(b))[:size]
 
 
 def chd_metadata(b: bytes) -> list[tuple[str, bytes]]:
@@ -261,23 +295,87 @@ def iso_decode(b: bytes) -> Tree:
     return out
 
 
-# CUE sheets: rows (file, type, track, mode, index, frames)
+# CUE sheets, whole or as rows (file, type, track, mode, index, frames)
 
 SECTOR_OF = {"MODE1/2048": 2048, "MODE2/2336": 2336, "MODE1/2352": 2352, "MODE2/2352": 2352, "AUDIO": 2352}
 
 
-def cue_decode(text: str) -> list[tuple]:
-    out, file, kind, track, mode = [], "", "", 0, ""
+@dataclass
+class CueTrack:
+    number: int
+    mode: str
+    title: str = ""
+    performer: str = ""
+    pregap: int = 0
+    postgap: int = 0
+    indices: list[tuple[int, int]] = field(default_factory=list)  # (number, frames)
+
+
+@dataclass
+class CueSheet:
+    catalog: str = ""
+    performer: str = ""
+    title: str = ""
+    songwriter: str = ""
+    files: list[tuple[str, str, list[CueTrack]]] = field(default_factory=list)  # (name, type, tracks)
+
+
+def _frames(msf: str) -> int | None:
+    m = re.match(r"(\d+):(\d+):(\d+)", msf)
+    return (int(m[1]) * 60 + int(m[2])) * 75 + int(m[3]) if m else None
+
+
+def _msf(frames: int) -> str:
+    return f"{frames // 4500:02d}:{frames // 75 % 60:02d}:{frames % 75:02d}"
+
+
+def cue_sheet(text: str) -> CueSheet:
+    """A sheet with its metadata; unknown commands are left out, and those that need a file or track before any."""
+    out, track = CueSheet(), None
     for line in text.splitlines():
-        if m := re.match(r'\s*FILE\s+(?:"([^"]*)"|(\S+))\s*(\S*)', line, re.I):
-            file, kind = m[1] or m[2], m[3].upper()
-        elif m := re.match(r"\s*TRACK\s+(\d+)\s+(\S+)", line, re.I):
-            track, mode = int(m[1]), m[2].upper()
-        elif m := re.match(r"\s*INDEX\s+(\d+)\s+(\d+):(\d+):(\d+)", line, re.I):
-            out.append((file, kind, track, mode, int(m[1]), (int(m[2]) * 60 + int(m[3])) * 75 + int(m[4])))
+        word, _, rest = line.strip().partition(" ")
+        word, rest = word.upper(), rest.strip()
+        plain = rest[1:-1] if len(rest) > 1 and rest[0] == rest[-1] == '"' else rest
+        if word == "FILE" and (m := re.match(r'(?:"([^"]*)"|(\S+))\s*(\S*)', rest)):
+            out.files.append((m[1] if m[1] is not None else m[2], m[3].upper(), []))
+            track = None
+        elif word == "TRACK" and out.files and (m := re.match(r"(\d+)\s+(\S+)", rest)):
+            track = CueTrack(int(m[1]), m[2].upper())
+            out.files[-1][2].append(track)
+        elif word in ("TITLE", "PERFORMER"):
+            setattr(track or out, word.lower(), plain)
+        elif word in ("CATALOG", "SONGWRITER"):
+            setattr(out, word.lower(), plain)
+        elif track and word in ("PREGAP", "POSTGAP") and _frames(rest) is not None:
+            setattr(track, word.lower(), _frames(rest))
+        elif track and word == "INDEX" and (m := re.match(r"(\d+)\s+(\S+)", rest)) and _frames(m[2]) is not None:
+            track.indices.append((int(m[1]), _frames(m[2])))
     return out
 
 
+def cue_text(sheet: CueSheet) -> str:
+    out = [f"CATALOG {sheet.catalog}"] * bool(sheet.catalog)
+    out += [f'{name.upper()} "{value}"' for name in ("performer", "title", "songwriter") if (value := getattr(sheet, name))]
+    for name, kind, tracks in sheet.files:
+        out.append(f'FILE "{name}" {kind}')
+        for t in tracks:
+            out.append(f"  TRACK {t.number:02d} {t.mode}")
+            out += [f'    {key.upper()} "{value}"' for key in ("title", "performer") if (value := getattr(t, key))]
+            out += [f"    PREGAP {_msf(t.pregap)}"] * (t.pregap > 0)
+            out += [f"    INDEX {i:02d} {_msf(at)}" for i, at in t.indices]
+            out += [f"    POSTGAP {_msf(t.postgap)}"] * (t.postgap > 0)
+    return "\n".join(out) + "\n"
+
+
+def iso_cue(bin_name: str) -> str:
+    """The sheet that goes with an ISO image kept as a BIN file: one data track."""
+    return cue_text(CueSheet(files=[(bin_name, "BINARY", [CueTrack(1, "MODE1/2048", indices=[(1, 0)])])]))
+
+
+def cue_decode(text: str) -> list[tuple]:
+    return [(name, kind, t.number, t.mode, i, at) for name, kind, tracks in cue_sheet(text).files for t in tracks for i, at in t.indices]
+
+
 def cue_encode(rows: list[tuple]) -> str:
     out, was = [], (None, None)
     for file, kind, track, mode, index, frames in rows:

@@ -136,11 +136,17 @@ def conversions(spark: SparkSession) -> DataFrame:
 
 
 def by_extension(df: DataFrame, ext: str = "ext") -> DataFrame:
-    """df with the catalogue's columns; unknown extensions have category `unknown`."""
-    found = df.join(F.broadcast(extensions(df.sparkSession)), F.lower(df[ext]) == F.col("ext") if ext != "ext" else ["ext"], "left")
+    """df with the catalogue's columns for an extension in any case; unknown ones have category `unknown`."""
+    known = F.broadcast(extensions(df.sparkSession).withColumnRenamed("ext", "_known"))
+    found = df.join(known, F.lower(df[ext]) == F.col("_known"), "left").drop("_known")
     return found.withColumn("category", F.coalesce("category", F.lit("unknown")))
 
 
+def is_supported(ext: str) -> Column:
+    """Whether the catalogue has the extension, in any case; false for null."""
+    return F.coalesce(F.lower(F.col(ext)).isin([e[0] for e in EXTENSIONS]), F.lit(False))
+
+
 def by_magic(content: str) -> Column:
     """The canonical extension that the leading bytes of a binary column name, or null."""
     cases = " ".join(f"when hex(substring({content}, 1, {len(sig) // 2})) = '{sig}' then '{ext}'" for sig, ext in MAGIC)
@@ -267,6 +273,20 @@ DISC_NAMES = {
 }
 
 
+def disc_extension(fmt: Column) -> Column:
+    """The file extension of a disc format, with its dot; empty if unknown."""
+    return F.when(fmt.isin(list(DISC_NAMES)), F.concat(F.lit("."), fmt)).otherwise("")
+
+
+def image_format(content: str) -> Column:
+    """What holds a tree of entries: zip, gzip, tar, fat32, ext2, iso; null if none."""
+    kinds = [("zip", is_zip(content)), ("gzip", is_gzip(content)), ("tar", is_tar(content)), ("fat32", is_fat32(content)), ("ext2", is_ext2(content)), ("iso", disc_format(content) == "iso")]
+    out = F.lit(None).cast("string")
+    for name, holds in reversed(kinds):
+        out = F.when(holds, name).otherwise(out)
+    return out
+
+
 def disc_name(fmt: Column) -> Column:
     pairs = [x for k, v in DISC_NAMES.items() for x in (F.lit(k), F.lit(v))]
     return F.coalesce(F.element_at(F.create_map(*pairs), fmt), F.lit("Unknown"))

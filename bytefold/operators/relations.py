@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from bytefold.sources import workspace
+
 # Audio: (audio_id, frame, ch, v)
 
 
@@ -96,24 +100,53 @@ def stored(raw: Column, packed: Column) -> Column:
     return F.when(packed < raw, packed).otherwise(raw)
 
 
-# Chains and trees, by pointer doubling: rounds grow as the log of the depth
-
-
-def chain(spark, edges: str, start: str, most: int = 10_000) -> DataFrame:
-    """(image_id, depth, cluster) of each start's chain over a view of (image_id, cluster, next). Ends at 0, 1, marks at or above 0x0FFFFFF7, or after `most` steps, which a cycle reaches."""
-    return spark.sql(
-        f"""with recursive w(image_id, cluster, depth) as (select image_id, cluster, 0 from {start}
-        union all select w.image_id, e.next, w.depth + 1 from w join {edges} e on e.image_id = w.image_id and e.cluster = w.cluster
-        where e.next between 2 and 268435446 and w.depth + 1 < {int(most)}) select image_id, depth, cluster from w"""
-    )
-
-
-def tree_paths(spark, nodes: str, deepest: int = 64) -> DataFrame:
-    """(id, path) over a view of (id, parent, name, is_dir); directories end with a slash."""
-    return spark.sql(
-        f"""with recursive t(id, path, is_dir, depth) as (select id, concat(name, if(is_dir, '/', '')), is_dir, 0 from {nodes} where parent is null
-        union all select n.id, concat(t.path, n.name, if(n.is_dir, '/', '')), n.is_dir, t.depth + 1 from t join {nodes} n on n.parent = t.id where t.depth < {int(deepest)}) select id, path from t"""
-    )
+# Chains and trees, by pointer doubling: rounds grow as the log of the depth, each round's pointers are a written table
+
+
+def chain(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """(image_id, depth, cluster) of each start's chain. edges: (image_id, cluster, next), starts: (image_id, cluster).
+
+    A chain ends at 0, 1 and at marks from 0x0FFFFFF7. One that runs into a cycle ends when it is
+    longer than its image has links, and any ends after `most` clusters if that is given.
+    """
+    links = edges.where("next between 2 and 268435446").select("image_id", "cluster", F.col("next").alias("to"))
+    longest = F.coalesce("links", F.lit(0)) + 1
+    longest = F.least(longest, F.lit(most)) if most else longest
+    found = starts.join(links.groupBy("image_id").agg(F.count("*").alias("links")), "image_id", "left")
+    parts = [workspace.keep(found.select("image_id", "cluster", F.lit(0).alias("depth"), longest.alias("longest")), "chain")]
+    jump, step = workspace.keep(links, "jump"), 1
+    while True:
+        # parts hold depths below step; jump leads step clusters on
+        near = reduce(DataFrame.unionByName, parts).where(F.col("depth") + step < F.col("longest"))
+        more = near.join(jump, ["image_id", "cluster"]).select("image_id", F.col("to").alias("cluster"), (F.col("depth") + step).alias("depth"), "longest")
+        parts.append(workspace.keep(more, "chain"))
+        if not parts[-1].limit(1).count():
+            break
+        further = jump.withColumnRenamed("to", "via").join(jump.withColumnRenamed("cluster", "via"), ["image_id", "via"])
+        was, jump = jump, workspace.keep(further.select("image_id", "cluster", "to"), "jump")
+        workspace.drop(was)
+        step *= 2
+    workspace.drop(jump)
+    return reduce(DataFrame.unionByName, parts).select("image_id", "depth", "cluster")
+
+
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """(id, path) over (id, parent, name, is_dir); directories end with a slash. Nodes in or below a cycle, or below a missing parent, have no path."""
+    up = workspace.keep(nodes.select("id", F.col("parent").alias("up")), "up")
+    rounds, most = 0, up.count().bit_length() + 1
+    while rounds < most and up.where("up is not null").limit(1).count():
+        ahead = up.where("up is not null").join(up.toDF("up", "far"), "up").select("id", F.col("far").alias("up"))
+        was, up = up, workspace.keep(up.where("up is null").unionByName(ahead), "up")
+        workspace.drop(was)
+        rounds += 1
+    name = F.concat("name", F.when(F.col("is_dir"), "/").otherwise(""))
+    line = nodes.join(up.where("up is null"), "id", "left_semi").select("id", F.col("parent").alias("up"), name.alias("path"))
+    for _ in range(rounds):
+        line = workspace.keep(line, "line")
+        ahead = line.where("up is not null").join(line.toDF("up", "far", "front"), "up").select("id", F.col("far").alias("up"), F.concat("front", "path").alias("path"))
+        line = line.where("up is null").unionByName(ahead)
+    workspace.drop(up) if rounds else None
+    return line.select("id", "path")
 
 
 def indirect(block: str, per: int, direct: int = 12) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bytefold.operators import checks, detection, paths, pixels, relations, text
+from bytefold.sources import workspace
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -110,13 +113,17 @@ def sniff_delimiter(spark, sf):
     return d.select("conv_id", "turn", detection.is_csv("b").alias("is_csv"), detection.delimiter("b").alias("delimiter"))
 
 
-@query("""with d as (select event_id, props as t from events union all select -1 - doc_id, substr(text, 1, 200) from documents)
-select event_id, regexp_matches(t, '^[ \\t\\n\\r]*[{\\[]') and length(t) >= 2 as is_json,
-length(t) >= 3 and ((contains(t, '[') and contains(t, ']')) or contains(t, '=')) as is_ini,
-length(t) >= 2 and (contains(t, '# ') or contains(t, '**') or contains(t, '__') or contains(t, '* ') or contains(t, '- ') or contains(t, '[') or contains(t, '```')) as is_markdown from d""")
+_MARKED = "|".join("({})".format(m.encode().hex().upper()) for m in detection.MARKDOWN_MARKS)
+
+
+@query(f"""with d as (select event_id, hex(encode(props)) as h from events union all select -1 - doc_id, hex(encode(text)) from documents),
+b as (select *, regexp_extract_all(substr(h, 1, 2048), '..') as b from d)
+select event_id, length(h) >= 4 and regexp_matches(h, '^(20|09|0A|0D)*(7B|5B)') as is_json,
+(list_contains(b, '5B') and list_contains(b, '5D')) or list_contains(b, '3D') as is_ini,
+length(h) >= 4 and regexp_matches(substr(h, 1, 1000), '^(..)*?({_MARKED})') as is_markdown from b""")
 def sniff_structured(spark, sf):
     e = table(spark, sf, "events").selectExpr("event_id", "encode(props, 'UTF-8') as b")
-    d = table(spark, sf, "documents").selectExpr("-1 - doc_id as event_id", "encode(substring(text, 1, 200), 'UTF-8') as b")
+    d = table(spark, sf, "documents").selectExpr("-1 - doc_id as event_id", "encode(text, 'UTF-8') as b")
     return e.unionByName(d).select("event_id", detection.is_json("b").alias("is_json"), detection.is_ini("b").alias("is_ini"), detection.is_markdown("b").alias("is_markdown"))
 
 
@@ -134,6 +141,21 @@ def sniff_binary(spark, sf):
     return d.select("doc_id", D.is_gzip("b").alias("gzip"), D.is_zip("b").alias("zip"), D.is_netpbm("b").alias("netpbm"), D.is_stl("b").alias("stl"), D.is_wav("b").alias("wav"), D.is_obj("b").alias("obj"), D.is_ext2("b").alias("ext2"))
 
 
+_BUILT = "case doc_id % 7 when 0 then repeat('00', 32768) || '014344303031' || repeat('00', 2042) when 1 then hex(encode('FILE \"a.bin\" BINARY')) when 2 then '00FFFFFFFFFFFFFFFFFFFF00' when 4 then '4D436F6D70724844' when 5 then repeat('20', 22) || '0000' || repeat('20', 58) || '4641543332202020' || repeat('20', 420) || '55AA' else '' end"
+
+
+@query(f"""with d as (select doc_id, {_BUILT} || hex(encode(text)) || case when doc_id % 7 = 3 then '636F6E6563746978' || repeat('00', 504) else '' end as h from documents),
+x as (select *, case when length(h) >= 69632 and substr(h, 65537, 12) = '014344303031' then 'iso' when doc_id % 7 = 1 then 'cue' when starts_with(h, '00FFFFFFFFFFFFFFFFFFFF00') then 'bin' when doc_id % 7 = 3 then 'vhd' when starts_with(h, '4D436F6D70724844') then 'chd' end as disc from d)
+select doc_id, disc, doc_id % 7 = 5 as fat32, case disc when 'iso' then 'ISO 9660' when 'cue' then 'CUE Sheet' when 'bin' then 'BIN/CUE' when 'vhd' then 'VHD' when 'chd' then 'CHD' else 'Unknown' end as name, case when disc is null then '' else '.' || disc end as extension from x""")
+def sniff_discs(spark, sf):
+    fat = "concat(repeat('20', 22), '0000', repeat('20', 58), '4641543332202020', repeat('20', 420), '55AA')"
+    heads = ["concat(repeat('00', 32768), '014344303031', repeat('00', 2042))", "hex('FILE \"a.bin\" BINARY')", "'00FFFFFFFFFFFFFFFFFFFF00'", "''", "'4D436F6D70724844'", fat, "''"]
+    built = "case doc_id % 7 " + " ".join(f"when {i} then {h}" for i, h in enumerate(heads)) + " end"
+    d = table(spark, sf, "documents").selectExpr("doc_id", f"unhex(concat({built}, hex(encode(text, 'UTF-8')), if(doc_id % 7 = 3, concat('636F6E6563746978', repeat('00', 504)), ''))) as b")
+    d = d.select("doc_id", detection.disc_format("b").alias("disc"), detection.is_fat32("b").alias("fat32"))
+    return d.select("*", detection.disc_name(F.col("disc")).alias("name"), F.coalesce(detection.disc_extension(F.col("disc")), F.lit("")).alias("extension"))
+
+
 # Text
 
 _LINES = "string_split(regexp_replace(t, '\\n$', ''), chr(10))"
@@ -270,78 +292,82 @@ def disc_names(spark, sf):
     return d.select("id", checks.iso_name(F.col("n")).alias("iso"), fat.alias("fat"), checks.fat_decoded(fat).alias("decoded"))
 
 
-# Pixels: a 64 x 64 gradient
+# Pixels: each vector is an 8 x 8 image of three channels
 
-_GRADIENT = "select 0 as image_id, (i // 64)::int as y, (i % 64)::int as x, c::int as c, (case c when 0 then (i % 64) * 255 // 64 when 1 then (i // 64) * 255 // 64 else (i % 64 + i // 64) * 255 // 128 end)::int as v from range(4096) a(i), range(3) b(c)"
+_PIXELS = "select vec_id as image_id, (i // 8)::int as y, (i % 8)::int as x, c::int as c, ((trunc(abs(embedding[i + 1]::double) * 1000)::bigint + 37 * c * i) % 256)::int as v from embeddings, range(64) a(i), range(3) b(c)"
 
 
-def gradient(spark: SparkSession) -> DataFrame:
-    g = spark.range(4096).selectExpr("0 as image_id", "cast(id div 64 as int) as y", "cast(id % 64 as int) as x", "explode(array(0, 1, 2)) as c")
-    return g.selectExpr("*", "cast(case c when 0 then x * 255 div 64 when 1 then y * 255 div 64 else (x + y) * 255 div 128 end as int) as v")
+def images(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").selectExpr("vec_id as image_id", "posexplode(embedding) as (i, e)").where("i < 64")
+    g = e.selectExpr("image_id", "i", "cast(abs(cast(e as double)) * 1000 as bigint) as e", "explode(array(0, 1, 2)) as c")
+    return g.selectExpr("image_id", "i div 8 as y", "i % 8 as x", "c", "cast((e + 37 * c * i) % 256 as int) as v").selectExpr("image_id", "cast(y as int) as y", "x", "c", "v")
 
 
-def _gray(spark: SparkSession) -> DataFrame:
-    wide = gradient(spark).groupBy("image_id", "y", "x").agg(*[F.max(F.when(F.col("c") == i, F.col("v"))).alias(n) for i, n in enumerate("rgb")])
+def _gray(spark: SparkSession, sf: str) -> DataFrame:
+    wide = images(spark, sf).groupBy("image_id", "y", "x").agg(*[F.max(F.when(F.col("c") == i, F.col("v"))).alias(n) for i, n in enumerate("rgb")])
     return wide.select("image_id", "y", "x", pixels.gray(F.col("r"), F.col("g"), F.col("b")).alias("gray"))
 
 
-_GRAY = f"with p as ({_GRADIENT}), w as (select y, x, max(v) filter (where c = 0) as r, max(v) filter (where c = 1) as g, max(v) filter (where c = 2) as b from p group by y, x), q as (select y, x, trunc(0.299::double * r + 0.587::double * g + 0.114::double * b)::int as gray from w)"
+_GRAY = f"with p as ({_PIXELS}), w as (select image_id, y, x, max(v) filter (where c = 0) as r, max(v) filter (where c = 1) as g, max(v) filter (where c = 2) as b from p group by image_id, y, x), q as (select image_id, y, x, trunc(0.299::double * r + 0.587::double * g + 0.114::double * b)::int as gray from w)"
 
 
-@query(f"{_GRAY} select y, x, gray, gray < 128 as black from q")
+@query(f"{_GRAY} select image_id, y, x, gray, gray < 128 as black from q")
 def gray_threshold(spark, sf):
-    return _gray(spark).select("y", "x", "gray", (F.col("gray") < 128).alias("black"))
+    return _gray(spark, sf).select("image_id", "y", "x", "gray", (F.col("gray") < 128).alias("black"))
 
 
-@query(f"{_GRAY} select y, (x // 8)::int as byte_no, bit_or(case when gray < 128 then 1 << (7 - x % 8) else 0 end)::int as bits from q group by y, x // 8")
+@query(f"{_GRAY} select image_id, y, (x // 8)::int as byte_no, bit_or(case when gray < 128 then 1 << (7 - x % 8) else 0 end)::int as bits from q group by image_id, y, x // 8")
 def pbm_pack(spark, sf):
-    return pixels.threshold_bits(_gray(spark)).select("y", "byte_no", "bits")
+    return pixels.threshold_bits(_gray(spark, sf)).select("image_id", "y", "byte_no", "bits")
+
+
+_PX = ("image_id", "y", "x", "c", "v")
 
 
 def _moved(name: str, change, at: str) -> None:
     def run(spark, sf):
-        return change(gradient(spark)).select("y", "x", "c", "v")
+        return change(images(spark, sf)).select(*_PX)
 
     run.__name__ = name
-    query(f"with p as ({_GRADIENT}) select {at}, c, v from p")(run)
+    query(f"with p as ({_PIXELS}) select image_id, {at}, c, v from p")(run)
 
 
-_moved("flip_h", lambda d: pixels.flip(d, width="64"), "y, 63 - x as x")
-_moved("flip_v", lambda d: pixels.flip(d, height="64"), "63 - y as y, x")
-_moved("rotate_90", lambda d: pixels.rotate(d, 90, "64", "64"), "x as y, 63 - y as x")
-_moved("rotate_180", lambda d: pixels.rotate(d, 180, "64", "64"), "63 - y as y, 63 - x as x")
-_moved("rotate_270", lambda d: pixels.rotate(d, -90, "64", "64"), "63 - x as y, y as x")
+_moved("flip_h", lambda d: pixels.flip(d, width="8"), "y, 7 - x as x")
+_moved("flip_v", lambda d: pixels.flip(d, height="8"), "7 - y as y, x")
+_moved("rotate_90", lambda d: pixels.rotate(d, 90, "8", "8"), "x as y, 7 - y as x")
+_moved("rotate_180", lambda d: pixels.rotate(d, 180, "8", "8"), "7 - y as y, 7 - x as x")
+_moved("rotate_270", lambda d: pixels.rotate(d, -90, "8", "8"), "7 - x as y, y as x")
 
-_GRID = "select y::int as y, x::int as x from range(30) a(y), range(48) b(x)"
+_GRID = "select y::int as y, x::int as x from range(11) a(y), range(5) b(x)"
 
 
-@query(f"""with p as ({_GRADIENT}), g as ({_GRID}), s as (select y, x, least(trunc(y::float * (64::float / 30::float))::int, 63) as sy, least(trunc(x::float * (64::float / 48::float))::int, 63) as sx from g)
-select s.y, s.x, p.c, p.v from s join p on p.y = s.sy and p.x = s.sx""")
+@query(f"""with p as ({_PIXELS}), g as ({_GRID}), s as (select y, x, least(trunc(y::float * (8::float / 11::float))::int, 7) as sy, least(trunc(x::float * (8::float / 5::float))::int, 7) as sx from g)
+select p.image_id, s.y, s.x, p.c, p.v from s join p on p.y = s.sy and p.x = s.sx""")
 def resize_nearest(spark, sf):
-    return pixels.nearest(gradient(spark), 64, 64, 48, 30).select("y", "x", "c", "v")
+    return pixels.nearest(images(spark, sf), 8, 8, 5, 11).select(*_PX)
 
 
-_SRC = f"g as ({_GRID}), f as (select y, x, x::float * (63::float / 48::float) as fx, y::float * (63::float / 30::float) as fy from g), s as (select *, trunc(fx)::int as x0, trunc(fy)::int as y0 from f)"
+_SRC = f"g as ({_GRID}), f as (select y, x, x::float * (7::float / 5::float) as fx, y::float * (7::float / 11::float) as fy from g), s as (select *, trunc(fx)::int as x0, trunc(fy)::int as y0 from f)"
 
 
-@query(f"""with p as ({_GRADIENT}), {_SRC},
-q as (select s.*, a.c, a.v::float as p11, b.v::float as p21, d.v::float as p12, e.v::float as p22 from s join p a on a.y = y0 and a.x = x0 join p b on b.y = y0 and b.x = least(x0 + 1, 63) and b.c = a.c
- join p d on d.y = least(y0 + 1, 63) and d.x = x0 and d.c = a.c join p e on e.y = least(y0 + 1, 63) and e.x = least(x0 + 1, 63) and e.c = a.c),
-r as (select y, x, c, p11 + (p21 - p11) * (fx - x0::float) as c1, p12 + (p22 - p12) * (fx - x0::float) as c2, fy - y0::float as t from q)
-select y, x, c, greatest(0, least(255, trunc(c1 + (c2 - c1) * t)::int)) as v from r""")
+@query(f"""with p as ({_PIXELS}), {_SRC},
+q as (select s.*, a.image_id, a.c, a.v::float as p11, b.v::float as p21, d.v::float as p12, e.v::float as p22 from s join p a on a.y = y0 and a.x = x0 join p b on b.image_id = a.image_id and b.y = y0 and b.x = least(x0 + 1, 7) and b.c = a.c
+ join p d on d.image_id = a.image_id and d.y = least(y0 + 1, 7) and d.x = x0 and d.c = a.c join p e on e.image_id = a.image_id and e.y = least(y0 + 1, 7) and e.x = least(x0 + 1, 7) and e.c = a.c),
+r as (select image_id, y, x, c, p11 + (p21 - p11) * (fx - x0::float) as c1, p12 + (p22 - p12) * (fx - x0::float) as c2, fy - y0::float as t from q)
+select image_id, y, x, c, greatest(0, least(255, trunc(c1 + (c2 - c1) * t)::int)) as v from r""")
 def resize_bilinear(spark, sf):
-    return pixels.bilinear(gradient(spark), 64, 64, 48, 30).select("y", "x", "c", "v")
+    return pixels.bilinear(images(spark, sf), 8, 8, 5, 11).select(*_PX)
 
 
 _K = lambda t: f"case when abs({t}) <= 1 then 1.5::double * abs({t}) ** 3 - 2.5::double * abs({t}) ** 2 + 1 when abs({t}) < 2 then -0.5::double * abs({t}) ** 3 + 2.5::double * abs({t}) ** 2 - 4 * abs({t}) + 2 else 0 end"
 
 
-@query(f"""with p as ({_GRADIENT}), {_SRC},
-n as (select s.y, s.x, greatest(0, least(63, x0 + i)) as sx, greatest(0, least(63, y0 + j)) as sy, ({_K('(fx - (x0 + i)::float)::double')}) * ({_K('(fy - (y0 + j)::float)::double')}) as k from s, range(-1, 3) a(i), range(-1, 3) b(j)),
-r as (select n.y, n.x, p.c, sum(p.v * k) / sum(k) as s from n join p on p.y = sy and p.x = sx group by n.y, n.x, p.c)
-select y, x, c, greatest(0, least(255, trunc(round(s, 6))::int)) as v from r""")
+@query(f"""with p as ({_PIXELS}), {_SRC},
+n as (select s.y, s.x, greatest(0, least(7, x0 + i)) as sx, greatest(0, least(7, y0 + j)) as sy, ({_K('(fx - (x0 + i)::float)::double')}) * ({_K('(fy - (y0 + j)::float)::double')}) as k from s, range(-1, 3) a(i), range(-1, 3) b(j)),
+r as (select p.image_id, n.y, n.x, p.c, sum(p.v * k) / sum(k) as s from n join p on p.y = sy and p.x = sx group by p.image_id, n.y, n.x, p.c)
+select image_id, y, x, c, greatest(0, least(255, trunc(round(s, 6))::int)) as v from r""")
 def resize_bicubic(spark, sf):
-    return pixels.bicubic(gradient(spark), 64, 64, 48, 30).select("y", "x", "c", "v")
+    return pixels.bicubic(images(spark, sf), 8, 8, 5, 11).select(*_PX)
 
 
 @query("""with d as (select p_partkey, (1 + p_size)::int as w, (1 + p_partkey % 37)::int as h, (5 + p_partkey % 11)::int as nw, (7 + p_partkey % 13)::int as nh from part),
@@ -352,14 +378,14 @@ def fit_box(spark, sf):
     return p.select("p_partkey", pixels.fit_box("w", "h", "nw", "nh").alias("b")).selectExpr("p_partkey", "b.w", "b.h")
 
 
-@query(f"with p as ({_GRADIENT}) select y, x, c, (sum(v) over (partition by x, c order by y) % 256)::int as v from p")
+@query(f"with p as ({_PIXELS}) select image_id, y, x, c, (sum(v) over (partition by image_id, x, c order by y) % 256)::int as v from p")
 def png_unfilter_up(spark, sf):
-    return pixels.unfilter_up(gradient(spark)).select("y", "x", "c", "v")
+    return pixels.unfilter_up(images(spark, sf)).select(*_PX)
 
 
-@query(f"with p as ({_GRADIENT}) select y, x, c, (sum(v) over (partition by y, c order by x) % 256)::int as v from p")
+@query(f"with p as ({_PIXELS}) select image_id, y, x, c, (sum(v) over (partition by image_id, y, c order by x) % 256)::int as v from p")
 def png_unfilter_sub(spark, sf):
-    return pixels.unfilter_sub(gradient(spark)).select("y", "x", "c", "v")
+    return pixels.unfilter_sub(images(spark, sf)).select(*_PX)
 
 
 @query("""with m as (select user_id, event_id, event_type, case when event_type is distinct from lag(event_type) over (partition by user_id order by event_id) or row_number() over (partition by user_id order by event_id) = 1 then 1 else 0 end as new from events),
@@ -396,6 +422,11 @@ def stereo_to_mono(spark, sf):
     return relations.to_mono(_samples(spark, sf))
 
 
+@query(f"with {_SAMPLES} select audio_id, frame, k::int as ch, v from s, range(2) r(k) where ch = 0")
+def mono_to_stereo(spark, sf):
+    return relations.to_stereo(_samples(spark, sf).where("ch = 0"))
+
+
 @query(f"with {_SAMPLES} select audio_id, count(*) / 2 as frames, round(count(*) / 2 / 44100.0::double, 6) as seconds from s group by audio_id")
 def duration(spark, sf):
     n = _samples(spark, sf).where("ch = 0").groupBy("audio_id").agg(F.count("*").cast("double").alias("frames"))
@@ -454,24 +485,27 @@ def vertex_dedup(spark, sf):
     return relations.distinct_vertices(v, "mesh").select("mesh", "vec_id", F.col("vertex").cast("long").alias("vertex"))
 
 
-_FAT = "select i.id as image_id, 2 + r.id as cluster, case when r.id % 10 = 9 then 268435455L else 3 + r.id end as next"
+_CLUSTERS = "select l_linenumber % 2 as image_id, l_orderkey, l_linenumber, 1 + row_number() over (partition by l_linenumber % 2 order by l_partkey, l_suppkey, l_orderkey, l_linenumber) as cluster from lineitem"
+_LINKED = f"select image_id, cluster, lead(cluster, 1, 268435455) over (partition by image_id order by l_orderkey, l_linenumber, cluster) as next, row_number() over (partition by image_id order by l_orderkey, l_linenumber, cluster) - 1 as depth from ({_CLUSTERS})"
 
 
-@query("""with recursive fat as (select i as image_id, 2 + k as cluster, case when k % 10 = 9 then 268435455 else 3 + k end as next from range(5) a(i), range(100) b(k)),
-w(image_id, cluster, depth) as (select i, 2 + i * 10, 0 from range(5) a(i) union all select w.image_id, e.next, w.depth + 1 from w join fat e on e.image_id = w.image_id and e.cluster = w.cluster where e.next between 2 and 268435446)
-select image_id, depth, cluster from w""")
+@query(f"""select image_id, depth::int as depth, cluster from ({_LINKED})""")
 def cluster_chain(spark, sf):
-    spark.sql(f"{_FAT} from range(5) i, range(100) r").createOrReplaceTempView("bytefold_fat")
-    spark.sql("select id as image_id, 2 + id * 10 as cluster from range(5)").createOrReplaceTempView("bytefold_starts")
-    return relations.chain(spark, "bytefold_fat", "bytefold_starts")
+    """Two chains through all line items, in another order than their clusters."""
+    table(spark, sf, "lineitem").createOrReplaceTempView("bytefold_lines")
+    fat = spark.sql(_LINKED.replace("from lineitem", "from bytefold_lines").replace("268435455)", "268435455)")).selectExpr("image_id", "cast(cluster as bigint) as cluster", "cast(next as bigint) as next", "depth")
+    spark.catalog.dropTempView("bytefold_lines")
+    fat = workspace.keep(fat, "fat")
+    return relations.chain(fat.select("image_id", "cluster", "next"), fat.where("depth = 0").select("image_id", "cluster"))
 
 
-@query("""select 'r' || r_regionkey as id, r_name || '/' as path from region union all select 'n' || n_nationkey, r_name || '/' || n_name from nation join region on n_regionkey = r_regionkey""")
+@query("""select 'r' || r_regionkey as id, r_name || '/' as path from region union all select 'n' || n_nationkey, r_name || '/' || n_name || '/' from nation join region on n_regionkey = r_regionkey
+union all select 's' || s_suppkey, r_name || '/' || n_name || '/' || s_name from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
 def tree_paths(spark, sf):
     r = table(spark, sf, "region").selectExpr("concat('r', r_regionkey) as id", "cast(null as string) as parent", "r_name as name", "true as is_dir")
-    n = table(spark, sf, "nation").selectExpr("concat('n', n_nationkey) as id", "concat('r', n_regionkey) as parent", "n_name as name", "false as is_dir")
-    r.unionByName(n).createOrReplaceTempView("bytefold_nodes")
-    return relations.tree_paths(spark, "bytefold_nodes")
+    n = table(spark, sf, "nation").selectExpr("concat('n', n_nationkey) as id", "concat('r', n_regionkey) as parent", "n_name as name", "true as is_dir")
+    x = table(spark, sf, "supplier").selectExpr("concat('s', s_suppkey) as id", "concat('n', s_nationkey) as parent", "s_name as name", "false as is_dir")
+    return relations.tree_paths(r.unionByName(n).unionByName(x))
 
 
 @query("""select o_orderkey, case when o_orderkey * 7 < 12 then 0 when o_orderkey * 7 < 12 + 256 then 1 when o_orderkey * 7 < 12 + 256 + 65536 then 2 else 3 end as level from orders""")
@@ -485,26 +519,149 @@ def indirect_blocks(spark, sf):
 def _converted(df: DataFrame, to: str, **more) -> DataFrame:
     from bytefold.plans.convert import Params, convert_files
 
-    done = convert_files(df, to, Params(**more))
-    return done.select("path", "out_path", "error", "in_size", "out_size", F.crc32("content").alias("crc"))
+    return convert_files(df, to, Params(**more))
 
 
-_HEAD = "'50360A3332203234200A3235350A'"  # a P6 header for 32 x 24 pixels
+_md5 = lambda c: F.md5(F.hex(c))
+_ROWS = "greatest(1, ceil(octet_length(encode(text)) / 96.0))::int"
+_LE = lambda n: f"(substr(printf('%08x', {n}), 7, 2) || substr(printf('%08x', {n}), 5, 2) || substr(printf('%08x', {n}), 3, 2) || substr(printf('%08x', {n}), 1, 2))"
+# the whole text as an image of 32 pixels a line, the last line filled with blanks
+_TEXT_IMAGE = f"i as (select doc_id, {_ROWS} as h, rpad(hex(encode(text)), {_ROWS} * 192, '20') as px, octet_length(encode('P6' || chr(10) || '32 ' || {_ROWS} || chr(10) || '255' || chr(10))) + {_ROWS} * 96 as n from documents), q as (select *, regexp_extract_all(px, '......') as p from i)"
 
 
 def _ppm(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("octet_length(text) >= 2304")
-    return d.selectExpr("concat('d', doc_id, '.ppm') as path", f"unhex(concat({_HEAD}, hex(substring(encode(text, 'UTF-8'), 1, 2304)))) as content")
+    d = table(spark, sf, "documents").selectExpr("doc_id", "encode(text, 'UTF-8') as b").withColumn("h", F.expr("greatest(1, ceil(length(b) / 96.0D))"))
+    return d.selectExpr("concat('d', doc_id, '.ppm') as path", "unhex(concat(hex(concat('P6\\n32 ', h, '\\n255\\n')), rpad(hex(b), cast(h * 192 as int), '20'))) as content")
 
 
-@query("""select 'd' || doc_id || '.ppm' as path, 'd' || doc_id || '.bmp' as out_path, null::varchar as error, 2318::bigint as in_size, (54 + 32 * 3 * 24)::bigint as out_size from documents where octet_length(encode(text)) >= 2304""")
+@query(f"""with {_TEXT_IMAGE}
+select 'd' || doc_id || '.ppm' as path, 'd' || doc_id || '.bmp' as out_path, null::varchar as error, n::bigint as in_size, (54 + 96 * h)::bigint as out_size,
+md5(upper('424d' || {_LE('54 + 96 * h')} || '00000000' || '36000000' || '28000000' || '20000000' || {_LE('h')} || '01001800' || '00000000' || {_LE('96 * h')} || '130b0000130b0000' || '0000000000000000')
+ || array_to_string(list_transform(range(0, h * 32), lambda k: (substr(p[(h - 1 - k // 32) * 32 + k % 32 + 1], 5, 2) || substr(p[(h - 1 - k // 32) * 32 + k % 32 + 1], 3, 2) || substr(p[(h - 1 - k // 32) * 32 + k % 32 + 1], 1, 2))), '')) as digest from q""")
 def image_convert(spark, sf):
-    return _converted(_ppm(spark, sf), "bmp").drop("crc")
+    return _converted(_ppm(spark, sf), "bmp").select("path", "out_path", "error", "in_size", "out_size", _md5("content").alias("digest"))
 
 
-@query()
+@query(f"""with {_TEXT_IMAGE}
+select 'd' || doc_id || '.ppm' as path, null::varchar as error, 16 as width, 16 as height,
+md5(array_to_string(list_transform(range(0, 256), lambda k: p[(h - 1 - least(trunc((k % 16)::float * (h::float / 16::float))::int, h - 1)) * 32 + 2 * (k // 16) + 1]), '')) as pixels from q""")
 def image_resize_png(spark, sf):
-    return _converted(_ppm(spark, sf), "png", width=16, height=16, degrees=90, method="bicubic").select("path", "out_path", "error", "in_size")
+    """Turned, resized and written as PNG, and read again."""
+    from bytefold.functions import codecs
+
+    @F.pandas_udf("struct<width: int, height: int, pixels: binary>")
+    def seen(s: pd.Series) -> pd.DataFrame:
+        found = [codecs.png_decode(b) for b in s]
+        return pd.DataFrame([(x.shape[1], x.shape[0], x[:, :, :3].tobytes()) for x in found], columns=["width", "height", "pixels"])
+
+    done = _converted(_ppm(spark, sf), "png", width=16, height=16, degrees=90, method="nearest", keep_aspect=False)
+    return done.select("path", "error", seen("content").alias("s")).select("path", "error", "s.width", "s.height", _md5("s.pixels").alias("pixels"))
+
+
+@query(f"""select doc_id, md5(upper(hex(encode('RIFF')) || {_LE('36 + octet_length(encode(text))')} || hex(encode('WAVEfmt ')) || '10000000' || '01000100' || '401f0000' || '401f0000' || '01000800' || hex(encode('data')) || {_LE('octet_length(encode(text))')}) || hex(encode(text))) as file,
+md5(hex(encode(text))) as samples, octet_length(encode(text)) / 8000.0::double as seconds from documents""")
+def wav_roundtrip(spark, sf):
+    """Each text as 8-bit samples: the file's bytes, and what is read back."""
+    from bytefold.functions import codecs
+
+    @F.pandas_udf("struct<file: binary, samples: binary, seconds: double>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        files = [codecs.wav_encode(codecs.Audio(8000, 1, 8, t.encode())) for t in s]
+        back = [codecs.wav_decode(b) for b in files]
+        return pd.DataFrame([(b, a.samples, codecs.wav_seconds(a)) for b, a in zip(files, back, strict=True)], columns=["file", "samples", "seconds"])
+
+    return table(spark, sf, "documents").select("doc_id", run("text").alias("r")).select("doc_id", _md5("r.file").alias("file"), _md5("r.samples").alias("samples"), "r.seconds")
+
+
+@query(f"""with d as (select doc_id, source, regexp_replace(text, '[#*_`\\[-]', '', 'g') as t from documents)
+select source, count(*) as total, count(*) filter (where t <> '') as successful, count(*) filter (where t = '') as failed, round(sum(case when t <> '' then octet_length(encode(case when ends_with(t, chr(10)) then t else t || chr(10) end)) end) * 100.0::double / sum(case when t <> '' then octet_length(encode(t)) end), 1) as percent from d group by source""")
+def batch_convert(spark, sf):
+    """Documents without marks as Markdown files, converted to text and summed up for each source."""
+    from bytefold.plans.convert import summary
+
+    d = table(spark, sf, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), F.encode(F.regexp_replace("text", r"[#*_`\[-]", ""), "UTF-8").alias("content"))
+    done = _converted(d, "txt").withColumn("source", F.split("path", "/")[0])
+    return summary(done, ["source"])
+
+
+_FILES = "'c' || conv_id || case conv_id % 3 when 0 then '.zip' when 1 then '.tar' else '.tgz' end as path"
+
+
+@query(f"""select {_FILES}, turn || '.txt' as entry, false as is_dir, octet_length(encode(text))::bigint as size, md5(hex(encode(text))) as digest from conversations""")
+def archive_entries(spark, sf):
+    """Conversations as zip, tar and tar.gz files, read as one relation of entries."""
+    from bytefold.functions import codecs
+    from bytefold.operators import entries
+
+    @F.pandas_udf("binary")
+    def pack(kind: pd.Series, turns: pd.Series) -> pd.Series:
+        out = []
+        for k, x in zip(kind, turns, strict=True):
+            members = [codecs.Entry(f"{t['turn']}.txt", t["text"].encode()) for t in x]
+            out.append(codecs.zip_encode(members) if k == 0 else codecs.tar_encode(members) if k == 1 else codecs.gzip_encode(codecs.tar_encode(members)))
+        return pd.Series(out)
+
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    made = c.select(F.expr("concat('c', conv_id, case conv_id % 3 when 0 then '.zip' when 1 then '.tar' else '.tgz' end)").alias("path"), pack(F.col("conv_id") % 3, "turns").alias("content"))
+    found = entries.entries(made)
+    return found.select("path", "entry", "is_dir", F.length("data").cast("long").alias("size"), _md5("data").alias("digest"))
+
+
+@query("""select 'd' || doc_id || '.chd' as path, octet_length(encode(text)) as size, greatest(1, ceil(octet_length(encode(text)) / 1024.0))::int - 1 as hunk,
+md5(rpad(substr(hex(encode(text)), (greatest(1, ceil(octet_length(encode(text)) / 1024.0))::int - 1) * 2048 + 1, 2048), 2048, '0')) as last_hunk, md5(rpad(substr(hex(encode(text)), 1, 1024), 1024, '0')) as first_sector from documents where text <> ''""")
+def disk_parts(spark, sf):
+    """The last hunk of each text's CHD image and the first sector of its dynamic VHD, each read on its own."""
+    from bytefold.functions import disks
+
+    @F.pandas_udf("struct<hunk: int, last_hunk: binary, first_sector: binary>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in s:
+            c, v = disks.chd_encode(t.encode(), 1024), disks.vhd_encode(t.encode(), True, block=8192)
+            n = disks.chd_size(c)[2]
+            out.append((n - 1, disks.chd_hunk(c, n - 1, True), disks.vhd_sector(v, 0)))
+        return pd.DataFrame(out, columns=["hunk", "last_hunk", "first_sector"])
+
+    d = table(spark, sf, "documents").where("text <> ''").select(F.concat(F.lit("d"), "doc_id", F.lit(".chd")).alias("path"), F.octet_length("text").cast("long").alias("size"), run("text").alias("r"))
+    return d.select("path", "size", "r.hunk", _md5("r.last_hunk").alias("last_hunk"), _md5("r.first_sector").alias("first_sector"))
+
+
+@query("""with f as (select doc_id // 100 as volume, doc_id, text from documents), s as (select volume, min(doc_id) as first from f group by volume)
+select 'v' || f.volume || '.img' as path, md5(hex(encode(f.text))) as digest, octet_length(encode(f.text))::bigint as size from f join s on f.volume = s.volume and f.doc_id = s.first""")
+def fat_read(spark, sf):
+    """Every hundred documents as a FAT32 volume; the first document of each is read by its path."""
+    from bytefold.functions import disks
+    from bytefold.operators import entries
+
+    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id").reset_index()
+        tree = [("FIRST.TXT" if i == 0 else f"D/{r.doc_id % 100:08d}.TXT", False, r.text.encode()) for i, r in enumerate(pdf.itertuples())]
+        return pd.DataFrame({"path": [f"v{key[0]}.img"], "content": [disks.fat_encode(tree)]})
+
+    d = table(spark, sf, "documents").withColumn("volume", F.expr("doc_id div 100"))
+    made = d.select("volume", "doc_id", "text").groupBy("volume").applyInPandas(build, "path string, content binary")
+    got = entries.read(made, "FIRST.TXT")
+    return got.select("path", _md5("data").alias("digest"), F.length("data").cast("long").alias("size"))
+
+
+@query("""select p_partkey, p_name as title, p_size as pregap, (p_partkey % 80 * 60 + p_size % 60) * 75 + p_partkey % 75 as frames, 2048 * ((p_partkey % 80 * 60 + p_size % 60) * 75 + p_partkey % 75) as byte_offset from part""")
+def cue_tracks(spark, sf):
+    """A sheet for each part, written, read and written again."""
+    from bytefold.functions import disks
+
+    @F.pandas_udf("struct<title: string, pregap: int, frames: bigint, byte_offset: bigint>")
+    def run(key: pd.Series, name: pd.Series, size: pd.Series) -> pd.DataFrame:
+        out = []
+        for k, n, z in zip(key.tolist(), name, size.tolist(), strict=True):
+            at = (k % 80 * 60 + z % 60) * 75 + k % 75
+            track = disks.CueTrack(1, "MODE1/2048", n, "", int(z), 0, [(1, int(at))])
+            text = disks.cue_text(disks.CueSheet("123", "p", n, "", [("a b.bin", "BINARY", [track])]))
+            back = disks.cue_sheet(disks.cue_text(disks.cue_sheet(text)))
+            t = back.files[0][2][0]
+            out.append((t.title if back.title == n else None, t.pregap, t.indices[0][1], t.indices[0][1] * disks.SECTOR_OF[t.mode]))
+        return pd.DataFrame(out, columns=["title", "pregap", "frames", "byte_offset"])
+
+    return table(spark, sf, "part").select("p_partkey", run("p_partkey", "p_name", "p_size").alias("r")).select("p_partkey", "r.*")
 
 
 @query("""select 'c' || conv_id || '.txt' as name, count(*) as entries, sum(octet_length(encode(text)))::bigint as bytes from conversations group by conv_id""")
@@ -544,15 +701,15 @@ def disc_trees(spark, sf):
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = [(f"{r.lang}/D{r.doc_id}.TXT", False, r.text.encode()) for r in pdf.itertuples()]
-        got = [(p, len(d)) for p, is_dir, d in disks.iso_decode(disks.iso_encode(tree)) if not is_dir]
-        return pd.DataFrame({"source": key[0], "path": [p for p, _ in got], "size": [n for _, n in got]})
+        got = [(p, d) for p, is_dir, d in disks.iso_decode(disks.iso_encode(tree)) if not is_dir]
+        return pd.DataFrame({"source": key[0], "path": [p for p, _ in got], "size": [len(d) for _, d in got], "digest": [hashlib.md5(d.hex().upper().encode()).hexdigest() for _, d in got]})
 
     # a volume holds at most 200 documents, so a common source is many volumes
     d = table(spark, sf, "documents").withColumn("volume", F.expr("doc_id div 200"))
-    return d.groupBy("source", "volume").applyInPandas(build, "source string, path string, size long")
+    return d.groupBy("source", "volume").applyInPandas(build, "source string, path string, size long, digest string")
 
 
-ORACLES["disc_trees"] = "select source, upper(lang) || '/D' || doc_id || '.TXT' as path, octet_length(encode(text)) as size from documents"
+ORACLES["disc_trees"] = "select source, upper(lang) || '/D' || doc_id || '.TXT' as path, octet_length(encode(text)) as size, md5(hex(encode(text))) as digest from documents"
 
 
 @query("""select vec_id, 7 as triangles, 684 - 5 * 50 as stl_bytes from embeddings""")

@@ -92,13 +92,17 @@ def convert_files(files: DataFrame, to: str, params: Params = Params(), folder:
     return done.select("path", "out_path", "content", "error", "in_size", F.length("content").cast("long").alias("out_size"))
 
 
-def summary(done: DataFrame) -> DataFrame:
-    """(total, successful, failed, failed_files, percent)."""
+def summary(done: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(total, successful, failed, percent), one row or one for each value of `by`; failures() has the failed files."""
     bad = F.col("error").isNotNull()
-    return done.agg(
+    return done.groupBy(*(by or [])).agg(
         F.count("*").alias("total"),
         F.count_if(~bad).alias("successful"),
         F.count_if(bad).alias("failed"),
-        F.array_sort(F.collect_list(F.when(bad, F.col("path")))).alias("failed_files"),
         F.round(F.sum(F.when(~bad, F.col("out_size"))) * 100.0 / F.sum(F.when(~bad, F.col("in_size"))), 1).alias("percent"),
     )
+
+
+def failures(done: DataFrame) -> DataFrame:
+    """(path, error) of the files that failed."""
+    return done.where("error is not null").select("path", "error")

@@ -168,6 +168,10 @@ def test_cue():
     rows = D.cue_decode(text)
     assert rows[-1] == ("a b.bin", "BINARY", 2, "AUDIO", 1, 9229)
     assert D.cue_encode(rows) == text
+    whole = 'CATALOG 123\nPERFORMER "p"\nTITLE "t"\nSONGWRITER "s"\nFILE "x.bin" BINARY\n  TRACK 01 AUDIO\n    TITLE "one"\n    PERFORMER "q"\n    PREGAP 00:02:00\n    INDEX 01 00:00:00\n    POSTGAP 00:00:05\n'
+    assert D.cue_text(D.cue_sheet(whole)) == whole and D.cue_sheet(whole).files[0][2][0].pregap == 150
+    assert D.cue_decode("TRACK 01 AUDIO\nINDEX 01 00:00:00\nREM x\n") == []
+    assert D.cue_decode(D.iso_cue("a.bin")) == [("a.bin", "BINARY", 1, "MODE1/2048", 1, 0)]
     sector = b"\0" + b"\xff" * 10 + b"\0" + bytes(4) + b"u" * 2048 + bytes(288)
     assert D.bin_data(sector * 2) == b"u" * 4096 and D.bin_data(sector, "AUDIO") == b""
 
@@ -236,3 +240,17 @@ def test_disk_parts():
     assert D.chd_metadata(c) == [("CHTR", b"TRACK:1"), ("GDDD", b"x")] and D.chd_decode(c) == raw
     f = D.fat_open(D.fat_encode(TREE))
     assert f.free()[0] == 2 + sum(1 for x in f.table[2:] if x)
+
+
+def test_hunks_and_sectors_on_their_own():
+    raw = bytes(range(256)) * 20 + bytes(9000) + b"tail"
+    c = D.chd_encode(raw, 2048)
+    assert b"".join(D.chd_hunk(c, i, True) for i in range(D.chd_size(c)[2]))[: len(raw)] == raw
+    v = D.vhd_encode(raw, True, block=4096)
+    disk = D.vhd_decode(v)
+    assert b"".join(D.vhd_sector(v, i) for i in range(len(disk) // 512)) == disk
+    assert D.vhd_sector(D.vhd_encode(raw), 1) == raw[512:1024]
+    for bad in (lambda: D.chd_hunk(c, 99), lambda: D.vhd_sector(v, -1), lambda: D.chd_map(c[:130])):
+        with pytest.raises(C.CodecError):
+            bad()
+    assert (D.crc16(b"123456789"), D.crc16(b""), D.crc16(b"12345678")) == (0x4B37, 0xFFFF, 0x37DD)

@@ -63,8 +63,23 @@ def test_audio(spark):
 
 
 def test_chains_stop(spark):
-    spark.createDataFrame([(1, 2, 5), (1, 5, 9), (1, 9, 268435455), (2, 3, 4), (2, 4, 3)], "image_id int, cluster long, next long").createOrReplaceTempView("t_fat")
-    spark.createDataFrame([(1, 2), (2, 3)], "image_id int, cluster long").createOrReplaceTempView("t_start")
-    rows = relations.chain(spark, "t_fat", "t_start", most=6).orderBy("image_id", "depth").collect()
-    assert [r["cluster"] for r in rows if r["image_id"] == 1] == [2, 5, 9]
-    assert len([r for r in rows if r["image_id"] == 2]) == 6
+    fat = spark.createDataFrame([(1, 2, 5), (1, 5, 9), (1, 9, 268435455), (2, 3, 4), (2, 4, 3), (3, 2, 2)], "image_id int, cluster long, next long")
+    start = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 7)], "image_id int, cluster long")
+    rows = relations.chain(fat, start).orderBy("image_id", "depth").collect()
+    assert [(r["image_id"], r["depth"], r["cluster"]) for r in rows] == [(1, 0, 2), (1, 1, 5), (1, 2, 9), (2, 0, 3), (2, 1, 4), (2, 2, 3), (3, 0, 2), (3, 1, 2), (4, 0, 7)]
+    assert relations.chain(fat, start, most=2).groupBy("image_id").count().agg({"count": "max"}).first()[0] == 2
+
+
+def test_a_chain_of_100000_clusters(spark):
+    n = 100_000
+    fat = spark.range(n).selectExpr("0 as image_id", "2 + id * 7919 % 100003 as cluster", f"if(id = {n - 1}, 268435455, 2 + (id + 1) * 7919 % 100003) as next")
+    got = relations.chain(fat, spark.sql("select 0 as image_id, 2L as cluster"))
+    r = got.selectExpr("count(*) n", "max(depth) d", "count_if(cluster <> 2 + depth * 7919L % 100003) wrong").first()
+    assert tuple(r) == (n, n - 1, 0)
+
+
+def test_a_deep_tree(spark):
+    deep = spark.range(500).selectExpr("id", "if(id = 0, null, id - 1) as parent", "concat('d', id) as name", "id < 499 as is_dir")
+    odd = spark.createDataFrame([(1000, 1001, "a", True), (1001, 1000, "b", True), (1002, 1000, "c", False), (1003, 99999, "d", False)], "id long, parent long, name string, is_dir boolean")
+    got = {r["id"]: r["path"] for r in relations.tree_paths(deep.unionByName(odd)).collect()}
+    assert got == {i: "/".join(f"d{k}" for k in range(i + 1)) + "/" * (i < 499) for i in range(500)}
