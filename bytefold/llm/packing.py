@@ -8,7 +8,8 @@ is left. Both work with multiplicities, so the solution is a list of (pattern, c
 and its interval table depends on the capacity, not on the rows.
 
 Pieces then find their place by rank among the pieces of their length. Ranks are dealt
-in salted groups, so a length that a third of the pieces share is many groups.
+in salted groups of some SALT_ROWS rows, so a length that a third of the pieces share is
+many groups.
 
 Nulls: a null text is an empty one (its only id is the separator); a null id keeps its
 row. Repeated rows are packed each. Extra columns are not read. No rows: no rows.
@@ -16,6 +17,7 @@ row. Repeated rows are packed each. Extra columns are not read. No rows: no rows
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -29,15 +31,16 @@ from pyspark.sql.window import Window
 from bytefold.llm import workspace
 
 CAPACITY = 2048
-SALTS = 256
+SALT_ROWS = 20_000
 _encoders: dict = {}
 
 
 def _encoder(name: str):
     """The byte-level BPE of a public vocabulary file, as a function from texts to id arrays.
 
-    The .tiktoken file holds the same merges as the .json one and encodes about four times as fast;
-    the tests hold both to equal ids. A name ending in .json uses `tokenizers` itself.
+    A .json file is read by `tokenizers`, as it is. Where a .tiktoken file holds the same merges, texts
+    without any of the vocabulary's added tokens go through that, which is about four times as fast; the
+    tests hold both to equal ids.
     """
     if name not in _encoders:
         import public_tokenizers as P
@@ -46,8 +49,11 @@ def _encoder(name: str):
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(P.path(name))
-            t.encode_special_tokens = True
-            _encoders[name] = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            added = [x.content for x in t.get_added_tokens_decoder().values()]
+            exact = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            twin = name.removesuffix(".json") + ".tiktoken"
+            fast = _encoder(twin) if os.path.exists(P.path(twin)) else exact
+            _encoders[name] = lambda text: exact(text) if any(x in text for x in added) else fast(text)
         else:
             import base64
 
@@ -66,7 +72,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, min(head, n))] + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k.tiktoken", end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of every document, in one pass without a shuffle."""
     kind = "id long, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * with_ids
 
@@ -214,7 +220,9 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = found.sparkSession
     rows = found.groupBy("length").count().collect()  # at most `capacity` rows
     table = spark.sparkContext.broadcast(intervals(solve({r["length"]: r["count"] for r in rows}, capacity)))
-    salted = found.withColumn("_salt", F.expr(f"cast(pmod(xxhash64(id, piece, ids_crc32), {SALTS}) as int)"))
+    salts = {r["length"]: -(-r["count"] // SALT_ROWS) for r in rows}
+    each = F.array(*[F.lit(salts.get(n, 1)) for n in range(capacity + 1)])  # by length
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.element_at(each, F.col("length").cast("int") + 1)).cast("int"))
     sums = salted.groupBy("length", "_salt").count()
     before = sums.select("length", "_salt", (F.sum("count").over(Window.partitionBy("length").orderBy("_salt")) - F.col("count")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("id", "piece", "ids_crc32")) - 1
@@ -235,7 +243,7 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(run, f"{kind}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k.tiktoken", end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """A row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset and, if wanted, its ids."""
     found = workspace.keep(pieces(docs, id_col, text, capacity, tokenizer, end_id, with_ids), "pieces")
     out = place(found, capacity)
