@@ -103,7 +103,8 @@ def propagate(cells: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataFr
 
 
 def _bucket(n: int) -> Column:
-    return F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    # another hash than the salts of a group's ranks, whose members would else crowd into a few buckets
+    return F.pmod(F.xxhash64("row", F.lit(7)), F.lit(n)).cast("int")
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -120,7 +121,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text:
     counts = rows.groupBy("k1", "k2", first).agg(F.count("*").alias("n"))
     groups = workspace.keep(counts.groupBy("k1", "k2").agg(F.sum("n").alias("all")).where("all > 1"), "groups")
     cells = workspace.keep(counts.join(groups.select("k1", "k2"), ["k1", "k2"], "left_semi").select("k1", "k2", "shard", "n"), "cells")
-    tied = workspace.keep(rows.select("row", "k1", "k2").join(groups, ["k1", "k2"]), "tied")
+    tied = workspace.keep(rows.select("row", "k1", "k2").join(workspace.within(groups), ["k1", "k2"]), "tied")
     # a random start may overfill a shard by a few; the surplus moves to shards with room
     held = np.zeros(shards, np.int64)
     for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect():
@@ -132,6 +133,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text:
     # a group's members by rank: its counts are intervals of ranks
     ends = F.sum("n").over(Window.partitionBy("k1", "k2").orderBy("shard"))
     lines = cells.withColumn("end", ends).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"))
+    lines = workspace.within(workspace.keep(lines, "lines"))
     salted = tied.withColumn("salt", F.pmod(F.xxhash64("row"), F.ceil(F.col("all") / GROUP_ROWS).cast("long")))
     sums = salted.groupBy("k1", "k2", "salt").count()
     before = sums.withColumn("before", F.sum("count").over(Window.partitionBy("k1", "k2").orderBy("salt")) - F.col("count")).drop("count")
