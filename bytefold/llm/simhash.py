@@ -10,8 +10,8 @@ join on. Cells are range-scanned by total popcount (the Manhattan bound in one
 dimension) and each candidate is verified on the bits. A cell emits the stars of its
 own link forest, never its pairs.
 
-A cell too large for a task's memory does not take that path: its fingerprints meet in
-the middle, through all values within two bit flips of each (two fingerprints at
+A cell too large for a task's memory (cells are counted first) does not take that path: its
+fingerprints meet in the middle, through all values within two bit flips of each (two fingerprints at
 distance 4 or less share one, and all that share one lie within distance 4), which is
 exact and linear however dense the group is.
 
@@ -122,15 +122,13 @@ def cell_forest(cell_end: np.ndarray, pop: np.ndarray, fp: np.ndarray, distance:
     return fp[linked], fp[parent[linked]]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], distance: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Sorted cell rows in, links out; rows of a cell of more than `most` come out with a null partner."""
+def _scan(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """Sorted cell rows in, links out."""
 
-    def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-        second = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), second], names=["a", "b"])
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     rest: list[np.ndarray] | None = None
-    spilled: tuple | None = None  # the cell whose rows go to the other path
     for batch in batches:
         cols = [np.asarray(batch.column(0)).astype(np.int64), np.asarray(batch.column(1)), np.asarray(batch.column(2)).astype(np.int64), np.asarray(batch.column(3)).view(np.uint64)]
         if rest is not None:
@@ -139,24 +137,12 @@ def _scan(batches: Iterator[pa.RecordBatch], distance: int, most: int) -> Iterat
         if not len(c):
             continue
         new = np.flatnonzero((c[1:] != c[:-1]) | (k[1:] != k[:-1])) + 1
-        if spilled is not None and (c[0], k[0]) == spilled:
-            cut = int(new[0]) if len(new) else len(c)
-            yield out(fp[:cut], None)
-            c, k, pop, fp, new = c[cut:], k[cut:], pop[cut:], fp[cut:], new[1:] - cut
-            if not len(c):
-                rest = None
-                continue
-        spilled = None
         last = int(new[-1]) if len(new) else 0
         if last:
             ends = np.append(new[:-1], last)
             starts = np.append(0, ends[:-1])
             yield out(*cell_forest(np.repeat(ends, ends - starts), pop[:last], fp[:last], distance))
         rest = [c[last:], k[last:], pop[last:], fp[last:]]
-        if len(rest[0]) > most:
-            spilled = (rest[0][0], rest[1][0])
-            yield out(rest[3], None)
-            rest = None
     if rest is not None and len(rest[0]):
         yield out(*cell_forest(np.full(len(rest[0]), len(rest[0])), rest[2], rest[3], distance))
 
@@ -191,13 +177,16 @@ def links(fps: DataFrame, distance: int = 4, blocks: int | None = None, cell_row
     if blocks is None:
         n = fps.count()
         blocks = distance + (2 if n < 1 << 25 else 3 if n < 1 << 30 else 4)
-    cells = _cells(fps.select("fp"), distance, blocks).repartition("c", "k").sortWithinPartitions("c", "k", "pop", "fp")
-    found = workspace.keep(cells.mapInArrow(lambda b: _scan(b, distance, cell_rows), "a long, b long").distinct(), "cells")
-    dense = found.where("b is null").select(F.col("a").alias("fp"))
-    pairs = found.where("b is not null")
-    if dense.limit(1).count():
-        pairs = pairs.unionByName(_flips(dense))
-    return pairs
+    cells = _cells(fps.select("fp"), distance, blocks)
+    # a cell has at least cell_rows rows to be listed here, so the list is short
+    dense = workspace.keep(cells.groupBy("c", "k").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("c", "k"), "dense")
+    crowded = dense.count() > 0
+    few = cells.join(workspace.within(dense), ["c", "k"], "left_anti") if crowded else cells
+    few = few.select("c", "k", "pop", "fp").repartition("c", "k").sortWithinPartitions("c", "k", "pop", "fp")
+    pairs = few.mapInArrow(lambda b: _scan(b, distance), "a long, b long")
+    if crowded:
+        pairs = pairs.unionByName(_flips(cells.join(workspace.within(dense), ["c", "k"], "left_semi").select("fp").distinct()))
+    return workspace.keep(pairs.distinct(), "cells")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4, cell_rows: int = CELL_ROWS) -> DataFrame:
