@@ -14,6 +14,9 @@ number of probed lists is the smallest that reaches RECALL on that sample, so cl
 vectors need few lists and structureless ones many. The sample has SAMPLE classes at
 most (those of smallest hash); every vector is indexed.
 
+A query that so found fewer than k while there are more asks every list without a bound,
+so each gets min(k, candidates) rows.
+
 Lists are dealt in blocks of candidates and of queries, both of bounded size, so one
 common vector, list or query never meets in one task.
 
@@ -209,12 +212,17 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
     asking = rows.where(query).select("id", "k1", "k2").distinct()
     asked = classes.join(asking.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", "vec")
     probing = workspace.keep(asked.mapInArrow(ask, "k1 long, k2 long, list int, bound double"), "probing")
-    load = {r["list"]: r["n"] for r in probing.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    parts = spark.createDataFrame([(i, max(1, -(-size.get(i, 0) // BLOCK)), max(1, -(-load.get(i, 0) // BLOCK))) for i in range(lists)], "list int, cn int, qn int")
-    parts = F.broadcast(parts)  # MOST_LISTS rows
-    cand = placed.join(parts, "list").select("list", F.pmod("k1", "cn").cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("qb"), "ids", "vec")
-    asks = probing.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("cn") - 1)).alias("cb"), F.pmod("k2", "qn").cast("int").alias("qb"), "k1", "k2", "bound")
-    asks = asks.join(asked, ["k1", "k2"]).select("list", "cb", "qb", "k1", "k2", "bound", "vec")
+
+    def meeting(probing: DataFrame) -> DataFrame:
+        """(k1, k2, score, id): at most k + 1 of each class of queries and block of candidates."""
+        load = {r["list"]: r["n"] for r in probing.groupBy("list").agg(F.count("*").alias("n")).collect()}
+        parts = spark.createDataFrame([(i, max(1, -(-size.get(i, 0) // BLOCK)), max(1, -(-load.get(i, 0) // BLOCK))) for i in range(lists)], "list int, cn int, qn int")
+        parts = F.broadcast(parts)  # MOST_LISTS rows
+        cand = placed.join(parts, "list").select("list", F.pmod("k1", "cn").cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("qb"), "ids", "vec")
+        asks = probing.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("cn") - 1)).alias("cb"), F.pmod("k2", "qn").cast("int").alias("qb"), "k1", "k2", "bound")
+        asks = asks.join(asked, ["k1", "k2"]).select("list", "cb", "qb", "k1", "k2", "bound", "vec")
+        on = ("list", "cb", "qb")
+        return cand.groupBy(*on).cogroup(asks.groupBy(*on)).applyInArrow(meet, "k1 long, k2 long, score double, id long")
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         s = shared.value[0]
@@ -233,9 +241,20 @@ def search(vectors: DataFrame, query: Column, k: int = 20, id_col: str = "vec_id
         q = qi[who][keep]
         return pa.table([pa.array(right.column("k1").to_numpy()[q]), pa.array(right.column("k2").to_numpy()[q]), pa.array(score[who][keep]), pa.array(own[keep])], names=names)
 
-    on = ("list", "cb", "qb")
-    found = cand.groupBy(*on).cogroup(asks.groupBy(*on)).applyInArrow(meet, "k1 long, k2 long, score double, id long")
     order = [F.desc("score"), F.asc("vec_id")]
-    best = found.withColumnRenamed("id", "vec_id").withColumn("r", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(*order))).where(f"r <= {k + 1}").drop("r")
+
+    def first(found: DataFrame) -> DataFrame:
+        ranked = found.withColumnRenamed("id", "vec_id").withColumn("r", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(*order)))
+        return ranked.where(f"r <= {k + 1}").drop("r")
+
+    best = workspace.keep(first(meeting(probing)), "best")
+    # whoever found fewer than there are asks every list, without a bound
+    there = min(k + 1, classes.agg(F.sum(F.size("ids"))).first()[0] or 0)
+    full = best.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= there)
+    short = workspace.keep(asked.select("k1", "k2").join(full, ["k1", "k2"], "left_anti"), "short")
+    if short.limit(1).count():
+        every = short.select("k1", "k2", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list"), F.lit(-math.inf).alias("bound"))
+        again = first(meeting(workspace.keep(every, "again")))
+        best = best.join(short, ["k1", "k2"], "left_anti").unionByName(again)
     out = best.join(asking, ["k1", "k2"]).where("id <> vec_id").withColumn("rank", F.row_number().over(Window.partitionBy("id", "k1", "k2").orderBy(*order)))
     return out.where(f"rank <= {k}").select(F.col("id").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
