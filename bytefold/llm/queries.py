@@ -48,7 +48,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents"))
-    shown = F.expr("concat_ws(',', transform(findings, c -> concat_ws(':', c.at, length(c.value), round(c.score, 3))))")
+    shown = F.expr("concat_ws(',', transform(findings, c -> concat_ws(':', c.at, coalesce(length(c.value), 0), round(c.score, 3))))")
     return found.select("doc_id", "n_candidates", F.size("findings").cast("long").alias("n_secrets"), shown.alias("findings"))
 
 

@@ -1,11 +1,16 @@
 """Secret scans with a random forest that removes false positives, in DataFrame functions only.
 
-Candidates are words (blank-separated) whose value part looks like a key, token or
-password. Each gets features of its length, character classes and their transitions,
+A text is cut into words at blanks, quotes, brackets, commas and semicolons, and at ? or &
+before a parameter's name. Candidates are words whose value part (what follows the last =
+or :) looks like a key, token or password: a known prefix; 16 key characters or more with
+letters and digits; 8 or more of them after a credential's name; any 8 characters assigned
+to one (password=..., "password": ...); and the password of a URL. Each gets features of its length, character classes and their transitions,
 letter pairs, dictionary coverage, the document's path, and the neighbouring words. The
 forest is trained on the driver from a small table of labelled findings (FINDINGS rows
 at most), whose features are made by the very same expressions, and is compiled into one
 SQL expression. A scan is then a projection over each row: no shuffle, no user function.
+A block from BEGIN to END PRIVATE KEY is a finding without a vote. Words of more than
+LONGEST characters hold no candidate. Redaction replaces a value in its own word only.
 
 Nulls: a null text has no candidates and stays null, a null path is an empty one. Every
 occurrence counts, ties and repeated rows included. Rows keep all their columns; private
@@ -26,7 +31,7 @@ TREES = 25
 DEPTH = 7
 
 # Names and shapes of common credentials.
-KEYWORDS = "pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer"
+KEYWORDS = "pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[ _-]?key|auth|credential|bearer"
 PREFIXES = "AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_-]{16,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{30,}"
 FAKES = "example|sample|dummy|fake|test|placeholder|your|change|redacted|xxxx|todo|demo|default"
 SUMS = "sha[0-9]*|md5|checksum|commit|hash|digest|uuid|guid|build|revision|etag|version|release|id"
@@ -35,10 +40,14 @@ PATHS = "test|spec|example|sample|fixture|mock|doc"
 DICTIONARY = "password|secret|token|example|sample|test|user|admin|version|release|config|server|client|service|request|response|handler|manager|factory|builder|string|number|value|index|table|column|query|result|error|message|data|file|path|name|type|key|api|http|json|html|utf|base|core|main|public|private|static|change|placeholder|default|your|here|the|and|for|with|from|this|that|not|all|build|commit|image|module|package|public|license"
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le"
 
-WORD_GAP = r"[\x20\x09-\x0D]+"
-VALUE = r"^[^A-Za-z0-9]*(?:([A-Za-z_][A-Za-z0-9_.-]*)[=:]+[^A-Za-z0-9]*)?([A-Za-z0-9][A-Za-z0-9+/_=.-]{7,}?)[^A-Za-z0-9]*$"
+LONGEST = 4096
+WORD_GAP = r"""[\x20\x09-\x0D"'`{}()\[\]<>,;]+|[?&](?=[A-Za-z_]+=)"""
+VALUE = r"^[^A-Za-z0-9]*(?:([A-Za-z_]\S*?)[=:]+[^A-Za-z0-9=:]*)?([A-Za-z0-9][A-Za-z0-9+/_=.-]{7,}?)[^A-Za-z0-9]*$"
+GIVEN = r"^(?:(\S*?)[=:]+)?([^=:\s]\S{6,}[^=:.!?\s])[.!?]*$"
+URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^:/@\s]*):([^@/\s]{6,})@"
+PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"
 #: a text without any such string has no candidate
-MAYBE = rf"(?:{PREFIXES})|[A-Za-z0-9+/_=.-]{{16}}|(?i:{KEYWORDS})"
+MAYBE = rf"(?:{PREFIXES})|[A-Za-z0-9+/_=.-]{{16}}|(?i:{KEYWORDS})|://[^:/@\s]*:[^@/\s]{{6}}"
 
 
 def _q(pattern: str) -> str:
@@ -64,6 +73,8 @@ FEATURES = {
     "sum": f"cast({{k}} rlike {_q(chr(92) + 'b(?:' + SUMS + ')' + chr(92) + 'b')} as double)",
     "fake": f"cast(concat({{k}}, ' ', lower({{v}}), ' ', lower({{n}})) rlike {_q(FAKES)} as double)",
     "path": f"cast({{p}} rlike {_q(PATHS)} as double)",
+    "assigned": f"cast({{k}} rlike {_q('[=:]$')} as double)",
+    "marks": f"regexp_count({{v}}, {_q('[^A-Za-z0-9+/_=.-]')}) / length({{v}})",
 }
 
 
@@ -87,13 +98,17 @@ def labelled_findings(n: int = 1400, seed: int = 3) -> list[dict]:
     for _ in range(n):
         true = r.random() < 0.5
         before, path = f"{speech()} {speech()}", pick(["src7", "src1/app.py", "main.go", "", "notes.txt"])
-        secret_key = pick(["password", "token =", "api_key", "secret:", "auth", "db_password", "access_key =", "passwd", "bearer", "credential"])
+        secret_key = pick(["password", "token =", "api_key", "secret:", "auth", "db_password", "access_key =", "passwd", "bearer", "credential", "password=", "password:", "passwd =", "pwd :", "token="])
         if true:
             kind = int(r.integers(6))
             v = (some(hexa, pick([18, 32, 40, 40, 64])), some(alnum, int(r.integers(16, 45))), "AKIA" + some(upper, 16), some(alnum + "_-", int(r.integers(20, 44))), some(alnum, int(r.integers(10, 16))) + "9x", pick(["ghp_", "sk_live_", "glpat-"]) + some(alnum, 24))[kind]
             if r.random() < 0.1 and kind < 2:
                 v = v.upper()
             k = before if kind in (2, 5) and r.random() < 0.7 else f"{before} {secret_key}"
+            if r.random() < 0.3:  # chosen by people
+                k = f"{before} {pick(['password:', 'password=', 'passwd =', 'db_password=', 'pwd:', 'passphrase =', 'secret='])}"
+                own = lambda: some("etaoinshrdlubcfgmpwy", int(r.integers(4, 9)))
+                v = (own() + own() + own(), own() + some(alnum[52:], int(r.integers(2, 6))), own().capitalize() + some("!$%*#&", 1) + own() + some(alnum[52:], 2), own() + some(alnum[52:], 1) + own() + some("!$%*#&", 2), 2 * (own() + some(alnum[52:], 1)), own() + some(alnum[52:], 1) + own() + some(alnum[52:], 1))[int(r.integers(6))]
         else:
             kind = int(r.integers(9))
             k = f"{before} {secret_key}" if r.random() < 0.25 else before
@@ -116,6 +131,8 @@ def labelled_findings(n: int = 1400, seed: int = 3) -> list[dict]:
                 k = f"{before} {pick(['sample', 'dummy', 'fake', 'example'])} {secret_key}"
             else:
                 v = f"{speech()}{speech()}{speech()}{some('0123456789', 1)}{speech()}"
+            if r.random() < 0.12:  # what stands after a credential's name in prose
+                k, v = f"{before} {pick(['password', 'token', 'secret', 'auth', 'password:', 'token:'])}", pick(["required", "protected", "authentication", "configuration", "incorrect", "management", "expired.", "invalid.", word() + word()])
         if len(v) >= 8:
             out.append({"k": k.lower(), "v": v, "n": speech(), "p": path, "y": int(true)})
     return out
@@ -181,19 +198,30 @@ def train(spark: SparkSession, findings: Sequence[dict] | None = None, trees: in
     return out
 
 
+def _words(text: str) -> str:
+    return f"split(coalesce({text}, ''), {_q(WORD_GAP)})"
+
+
 def _scored(forest: list, text: str, path: str) -> Column:
-    """array<struct<at, value, score>> of a row's candidates; at: the number of the word."""
-    words = f"split(coalesce({text}, ''), {_q(WORD_GAP)})"
-    near = "lower(concat_ws(' ', coalesce(get(w, i - 2), ''), coalesce(get(w, i - 1), ''), regexp_extract(x, {0}, 1)))".format(_q(VALUE))
-    cand = f"transform(w, (x, i) -> if(length(x) < 8, null, struct(i as at, regexp_extract(x, {_q(VALUE)}, 2) as v, {near} as k, coalesce(get(w, i + 1), '') as n)))"
-    mixed = f"c.v rlike {_q('[0-9]')} and c.v rlike {_q('[A-Za-z]')}"
-    kept = f"filter({cand}, c -> c is not null and length(c.v) >= 8 and (c.v rlike {_q(f'^(?:{PREFIXES})$')} or ({mixed} and (length(c.v) >= 16 or c.k rlike {_q(KEYWORDS)}))))"
-    found = f"aggregate(array({words}), cast(array() as array<struct<at: int, v: string, k: string, n: string>>), (a, w) -> {kept})"
+    """array<struct<at, value, score>> of a row's candidates and key blocks; at: the number of the word, of a block's first word with value null."""
+    part = lambda n: f"coalesce(nullif(regexp_extract(x, {_q(URL)}, {n}), ''), nullif(regexp_extract(x, {_q(VALUE)}, {n}), ''), regexp_extract(x, {_q(GIVEN)}, {n}))"
+    # an assignment keeps its mark, and the password of a URL is one by its place
+    own = f"case when x rlike {_q(URL)} then 'password=' when {part(1)} <> '' then concat({part(1)}, '=') else '' end"
+    # a word before that has a value of its own names nothing here
+    named = lambda k: f"if(get(w, i - {k}) rlike {_q('[=:][^=:]')}, '', coalesce(get(w, i - {k}), ''))"
+    near = f"rtrim(lower(concat_ws(' ', {named(2)}, {named(1)}, {own})))"
+    cand = f"transform(w, (x, i) -> if(length(x) < 8 or length(x) > {LONGEST}, null, struct(i as at, {part(2)} as v, {near} as k, coalesce(get(w, i + 1), '') as n)))"
+    plain = f"c.v rlike {_q('^[A-Za-z0-9+/_=.-]+$')} and c.v rlike {_q('[0-9]')} and c.v rlike {_q('[A-Za-z]')} and (length(c.v) >= 16 or c.k rlike {_q(KEYWORDS)})"
+    given = f"c.k rlike {_q(f'(?:{KEYWORDS})[^ ]* ?[=:]+$')}"
+    kept = f"filter({cand}, c -> c is not null and length(c.v) >= 8 and (c.v rlike {_q(f'^(?:{PREFIXES})$')} or ({plain}) or {given}))"
+    found = f"aggregate(array({_words(text)}), cast(array() as array<struct<at: int, v: string, k: string, n: string>>), (a, w) -> {kept})"
     valued = f"transform({found}, c -> struct(c.at as at, c.v as value, {features('c.v', 'c.k', 'c.n', f'lower({path})')} as f))"
     vote = " + ".join(_sql_of(t, "c.f") for t in forest)
     scored = f"transform({valued}, c -> struct(c.at as at, c.value as value, ({vote}) / {len(forest)} as score))"
     empty = "cast(array() as array<struct<at: int, value: string, score: double>>)"
-    return F.expr(f"if({text} rlike {_q(MAYBE)}, {scored}, {empty})")
+    # the texts between key blocks tell where each begins
+    blocks = f"aggregate(slice(split({text}, {_q(PEM)}), 1, greatest(0, size(split({text}, {_q(PEM)})) - 1)), struct('' as t, {empty} as out), (a, x) -> struct(concat(a.t, x, ' . ') as t, concat(a.out, array(struct(size({_words('concat(a.t, x)')}) - 1 as at, cast(null as string) as value, 1D as score))) as out), a -> a.out)"
+    return F.expr(f"if({text} rlike {_q(MAYBE)}, concat({scored}, if(instr({text}, ' PRIVATE KEY-----') > 0 or instr({text}, 'BEGIN PRIVATE KEY-----') > 0, {blocks}, {empty})), {empty})")
 
 
 def _with_candidates(docs: DataFrame, text: str, path: str | None, forest: list | None) -> DataFrame:
@@ -210,8 +238,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str
 
 
 def redacted(docs: DataFrame, text: str = "text", path: str | None = "source", forest: list | None = None, threshold: float = 0.5, mark: str = "<SECRET>") -> DataFrame:
-    """docs with every found value replaced in the text; all rows and columns stay."""
+    """docs with every found value replaced where it was found; the rest of the text, all rows and columns stay."""
     out = _with_candidates(docs, text, path, forest)
-    clean = F.expr(f"aggregate(filter(_found, c -> c.score >= {threshold}D), _text, (t, c) -> replace(t, c.value, {_q(mark)}))")
+    # words and the gaps between them, in turn; a word loses its own findings only
+    hits = f"filter(_found, c -> c.score >= {threshold}D)"
+    word = f"aggregate(filter(h, c -> c.at = i and c.value is not null), x, (t, c) -> replace(t, c.value, {_q(mark)}))"
+    words = f"aggregate(array({hits}), cast(array() as array<string>), (a, h) -> transform({_words('_text')}, (x, i) -> {word}))"
+    whole = f"array_join(flatten(zip_with({words}, regexp_extract_all(_text, {_q(WORD_GAP)}, 0), (x, g) -> array(x, coalesce(g, '')))), '')"
+    clean = F.expr(f"if(size({hits}) = 0, _text, regexp_replace({whole}, {_q(PEM)}, {_q(mark)}))")
     out = out.withColumn("_clean", clean)
     return out.select(*[F.col("_clean").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
