@@ -8,8 +8,8 @@ is left. Both work with multiplicities, so the solution is a list of (pattern, c
 and its interval table depends on the capacity, not on the rows.
 
 Pieces then find their place by rank among the pieces of their length. Ranks are dealt
-in salted groups of some SALT_ROWS rows, so a length that a third of the pieces share is
-many groups.
+in salted groups, of SALT_ROWS rows or of the square root of a length's pieces if that is
+more, so a length that a third of the pieces share is many groups.
 
 Nulls: a null text is an empty one (its only id is the separator); a null id keeps its
 row. Repeated rows are packed each. Extra columns are not read. No rows: no rows.
@@ -21,6 +21,7 @@ import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql.window import Window
 from bytefold.llm import workspace
 
 CAPACITY = 2048
-SALT_ROWS = 20_000
+SALT_ROWS = 500
 _encoders: dict = {}
 
 
@@ -220,7 +221,7 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = found.sparkSession
     rows = found.groupBy("length").count().collect()  # at most `capacity` rows
     table = spark.sparkContext.broadcast(intervals(solve({r["length"]: r["count"] for r in rows}, capacity)))
-    salts = {r["length"]: -(-r["count"] // SALT_ROWS) for r in rows}
+    salts = {r["length"]: -(-r["count"] // max(SALT_ROWS, isqrt(r["count"]))) for r in rows}
     each = F.array(*[F.lit(salts.get(n, 1)) for n in range(capacity + 1)])  # by length
     salted = found.withColumn("_salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.element_at(each, F.col("length").cast("int") + 1)).cast("int"))
     sums = salted.groupBy("length", "_salt").count()
