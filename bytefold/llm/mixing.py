@@ -8,6 +8,12 @@ the targets. The gradient of a document depends on the rest of the corpus only t
 one residual for each domain, so a step is one distributed sum of as many numbers, and a
 rate is a function of the document and the list of residuals: nothing else is moved.
 
+The squares are weighted by 1 / the tokens a domain starts with (SHORT of its target at
+least), which bounds the curvature by one: a step of one never overshoots, and a domain far
+below its target nears it as fast as the others. Steps end when no domain is off its target
+by CLOSE of it, or none moves by that any more. Model.reached tells the expected tokens as
+parts of the targets; a domain that stays short is seen there.
+
 `least` bounds the rates from below. At 0, domains in excess are thinned; at 1 no
 document is lost, and the total is as large as the targets then need.
 
@@ -28,10 +34,11 @@ from pyspark.sql import functions as F
 
 from bytefold.llm import textkit, workspace
 
-LABELLED = 2000
+LABELLED = 4000
 BUCKETS = 1 << 14
-STEPS = 40
+STEPS = 100
 CLOSE = 1e-4
+SHORT = 0.05
 PULL = 1e-3
 
 
@@ -40,9 +47,9 @@ class Model:
     domains: list[str]
     weights: np.ndarray  # (BUCKETS, domains)
     bias: np.ndarray
-    step: float = 0.0
     least: float = 0.0
     residuals: list[np.ndarray] = field(default_factory=list)
+    reached: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
 def _bags(t: textkit.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,29 +61,21 @@ def _bags(t: textkit.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return doc, key % BUCKETS, n / np.maximum(w.count, 1)[doc], w.count
 
 
-def fit(doc: np.ndarray, bucket: np.ndarray, share: np.ndarray, y: np.ndarray, k: int, steps: int = 80, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    w, b = np.zeros((BUCKETS, k)), np.zeros(k)
-    gold = np.eye(k)[y]
+def fit(doc: np.ndarray, bucket: np.ndarray, share: np.ndarray, y: np.ndarray, k: int, steps: int = 200, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a softmax classifier, by Adam on all rows."""
+    w, b = np.zeros((k, BUCKETS)), np.zeros(k)
+    gold = np.eye(k)[y].T
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
-    cols, at = np.unique(bucket, return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    starts = np.searchsorted(at[order], np.arange(len(cols)))
-    first = np.searchsorted(doc, np.arange(len(y) + 1))
-    some = first[:-1] < first[1:]
     for step in range(1, steps + 1):
-        g = np.tile(b, (len(y), 1))
-        if len(doc):
-            g[some] += np.add.reduceat(w[bucket] * share[:, None], first[:-1][some])
-        p = np.exp(g - g.max(1, keepdims=True))
-        e = (p / p.sum(1, keepdims=True) - gold) / len(y)
-        gw = decay * w
-        if len(doc):
-            gw[cols] += np.add.reduceat((e[doc] * share[:, None])[order], starts)
-        for x, m, v, grad in ((w, mw, vw, gw), (b, mb, vb, e.sum(0))):
+        g = np.stack([np.bincount(doc, w[c, bucket] * share, len(y)) + b[c] for c in range(k)])
+        p = np.exp(g - g.max(0))
+        e = (p / p.sum(0) - gold) / len(y)
+        gw = decay * w + np.stack([np.bincount(bucket, e[c, doc] * share, BUCKETS) for c in range(k)])
+        for x, m, v, grad in ((w, mw, vw, gw), (b, mb, vb, e.sum(1))):
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
             x -= 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    return w, b
+    return np.ascontiguousarray(w.T), b
 
 
 def posteriors(t: textkit.Texts, m: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +93,7 @@ def rates(p: np.ndarray, m: Model) -> np.ndarray:
     """The documents' rates after all residuals so far."""
     r = np.full(len(p), max(1.0, m.least))
     for rho in m.residuals:
-        r = np.maximum(m.least, r - m.step * (p @ rho) - m.step * PULL * (r - 1))
+        r = np.maximum(m.least, r - p @ rho - PULL * (r - 1))
     return r
 
 
@@ -155,24 +154,24 @@ def balance(docs: DataFrame, model: Model, targets: Mapping[str, float], text: s
 
     weight = np.array([float(targets[d]) for d in model.domains])
     weight = weight / weight.sum()
-    light = Model(model.domains, np.zeros((0, k)), model.bias, 0.0, least)
+    light = Model(model.domains, np.zeros((0, k)), model.bias, least)
     have = sums(light)
     if not have.sum():
-        return Model(model.domains, model.weights, model.bias, 0.0, least)
+        workspace.drop(table)
+        return Model(model.domains, model.weights, model.bias, least, reached=np.zeros(k))
     if total is None:
         total = have.sum() if least < 1 else float((have[weight > 0] / weight[weight > 0]).max())
     want = np.maximum(weight * total, 1e-9 * total)
-    light.step = 1 / max(1e-9, (have / want).max())
-    now = have
+    now, was = have, np.full(k, np.inf)
     for _ in range(steps):
-        rho = (now - want) / want
-        rho[(have <= 0) & (rho < 0)] = 0
-        if np.abs(rho).max() < CLOSE:
+        if np.abs(now / want - 1).max() < CLOSE or np.abs((now - was) / want).max() < CLOSE:
             break
+        rho = (now - want) / np.maximum(have, SHORT * want)
+        rho[(have <= 0) & (rho < 0)] = 0
         light.residuals = [*light.residuals, rho]
-        now = sums(light)
+        now, was = sums(light), now
     workspace.drop(table)
-    return Model(model.domains, model.weights, model.bias, light.step, least, light.residuals)
+    return Model(model.domains, model.weights, model.bias, least, light.residuals, now / want)
 
 
 def with_rates(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
