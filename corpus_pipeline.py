@@ -4,12 +4,13 @@ quality rules -> one of each group of near copies -> secrets removed -> sources
 target weights -> best-fit packing. Filtering stages keep every clean document: mixing
 repeats documents where a domain falls short and thins none.
 
-Nulls: a null text is empty, so the quality rules reject it; a null id, lang or
-source passes through as it is, and n_chars is counted anew after secrets go. Rows of equal text are near copies of each other, whole
-repeated rows and rows without an id included: one of them stays. Texts of any length are
-read whole, and packing cuts them into sequences. Columns beyond those of documents, with
-any names, pass through the first four stages. An empty table passes as an empty one, and
-without labels nothing is known of domains: each document then counts to all alike.
+Nulls: a null text is empty, so the quality rules reject it; a null id, lang or source
+passes through as it is, and n_chars is counted anew after secrets go. Rows of equal text
+are near copies of each other, whole repeated rows and rows without an id included: one of
+them stays. Texts of any length are read whole, and packing cuts them into sequences.
+Columns beyond those of documents, with any names, pass through the first four stages. An
+empty table passes as an empty one; without labels nothing is known of domains, and each
+document then counts to all alike.
 """
 
 from __future__ import annotations
