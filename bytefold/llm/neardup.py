@@ -312,14 +312,14 @@ def _mixed(rows: DataFrame, keys: list[str], last: DataFrame, run: Callable) ->
     sizes = rows.groupBy(*keys, "root").agg(F.count("*").alias("n")).groupBy(*keys)
     several = sizes.agg(F.max_by("root", "n").alias("main"), F.sum("n").alias("m"), F.count("*").alias("groups")).where("groups > 1")
     several = several.select(*keys, "main", F.ceil(F.col("m") / BLOCK).alias("salts"))
-    some = rows.join(workspace.within(workspace.keep(several, "several")), keys)
-    answers = some.select(*keys, F.expr("pmod(xxhash64(node), salts)").alias("salt"), F.lit(False).alias("asks"), "node", "root", "main")
-    asks = some.where("root <> main").select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("asks"), "node", "root", "main")
-    both = workspace.keep(answers.unionByName(asks), "mixed")
+    some = workspace.keep(rows.join(workspace.within(workspace.keep(several, "several")), keys), "mixed")
     if "set" in last.columns:
-        wanted = workspace.keep(both.select("node").distinct(), "wanted")
+        wanted = workspace.keep(some.select("node").distinct(), "wanted")
         last = last.join(workspace.within(wanted), "node", "left_semi").groupBy("node").agg(*[F.min(c).alias(c) for c in last.columns if c != "node"])
-    both = both.join(last, "node").select(*keys, "salt", "asks", "node", "root", "main", *last.columns[1:])
+    # dealt out after the join, in which a row that asks many parts is one row
+    own = "struct(pmod(xxhash64(node), salts) as salt, false as asks)"
+    parts = F.explode(F.expr(f"if(root <> main, concat(array({own}), transform(sequence(0L, salts - 1), s -> struct(s as salt, true as asks))), array({own}))"))
+    both = some.join(last, "node").withColumn("part", parts).select(*keys, "part.salt", "part.asks", "node", "root", "main", *last.columns[1:])
     return both.repartition(*keys, "salt").sortWithinPartitions(*keys, "salt", "asks", "node").mapInArrow(run, "a long, b long")
 
 
