@@ -32,24 +32,34 @@ def _plain(entry: Column) -> Column:
     return F.regexp_replace(entry, "^/+|/+$", "")
 
 
+def _with_kind(files: DataFrame, kind: str | None) -> DataFrame:
+    return files.select("path", "content", (F.lit(kind) if kind else detection.image_format("content")).alias("kind"))
+
+
+def _tree(content: bytes | None, kind: str | None) -> tuple[disks.Tree, str | None]:
+    """The entries of one file, or why it cannot be read."""
+    try:
+        codecs.need(kind in READERS and content is not None, "UNSUPPORTED_CONVERSION")
+        return READERS[kind](content), None
+    except codecs.CodecError as e:
+        return [], str(e)
+    except Exception as e:  # a broken image must not end the batch
+        return [], f"CORRUPTED_DATA: {type(e).__name__}"
+
+
 def entries(files: DataFrame, kind: str | None = None) -> DataFrame:
     """(path, entry, is_dir, data, error) of files (path, content): a row for each entry, in the image's order.
 
     kind: zip, tar, gzip, iso, fat32 or ext2; by content if not given. A file that cannot be read is
     one row with an error and no entry; a null content is an unknown format.
     """
-    rows = files.select("path", "content", (F.lit(kind) if kind else detection.image_format("content")).alias("kind"))
+    rows = _with_kind(files, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content, k in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                try:
-                    codecs.need(k in READERS and content.is_valid, "UNSUPPORTED_CONVERSION")
-                    found = [(path, name, is_dir, data, None) for name, is_dir, data in READERS[k](content.as_py())]
-                except codecs.CodecError as e:
-                    found = [(path, None, None, None, str(e))]
-                except Exception as e:  # a broken image must not end the batch
-                    found = [(path, None, None, None, f"CORRUPTED_DATA: {type(e).__name__}")]
+                tree, why = _tree(content.as_py(), k)
+                found = [(path, None, None, None, why)] if why else [(path, name, is_dir, data, None) for name, is_dir, data in tree]
                 cols = list(zip(*found, strict=True)) or [()] * 5
                 types = (pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["path", "entry", "is_dir", "data", "error"])
@@ -63,12 +73,23 @@ def listed(found: DataFrame) -> DataFrame:
     return found.where("entry is not null").select("path", name.alias("entry"), "is_dir", F.coalesce(F.length("data"), F.lit(0)).cast("long").alias("size"))
 
 
+def read_one(content: bytes | None, entry: str, kind: str | None) -> tuple[bytes | None, str | None]:
+    """(data, error) of one entry of one file, for use where the content is; the last of equal names counts."""
+    tree, why = _tree(content, kind)
+    hits = [data for name, is_dir, data in tree if not is_dir and name.strip("/") == entry.strip("/")]
+    return (hits[-1], None) if hits else (None, why or "NOT_FOUND")
+
+
 def read(files: DataFrame, entry: str, kind: str | None = None) -> DataFrame:
-    """(path, data, error) of one entry of each file; NOT_FOUND where it is missing or a directory."""
-    found = entries(files, kind)
-    hit = (_plain(F.col("entry")) == entry.strip("/")) & ~F.col("is_dir")
-    best = found.groupBy("path").agg(F.max_by(F.struct("data"), F.when(hit, 1)).alias("hit"), F.max("error").alias("why"))
-    return files.select("path").join(best, "path", "left").select("path", F.col("hit.data").alias("data"), F.when(F.col("hit").isNull(), F.coalesce("why", F.lit("NOT_FOUND"))).alias("error"))
+    """(path, data, error) of one entry of each file; NOT_FOUND where it is missing or a directory. One pass: only the entry leaves the worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content, k in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                data, why = read_one(content.as_py(), entry, k)
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([data], pa.binary()), pa.array([why], pa.string())], names=["path", "data", "error"])
+
+    return _with_kind(files, kind).mapInArrow(run, "path string, data binary, error string")
 
 
 def targets(found: DataFrame, folder: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Entries of archives and images, by path and into a folder; settings; detection corners."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,24 @@ def test_one_entry_by_path(images):
     assert {r["error"] for r in entries.read(images.where("path = 'i.iso'"), "DOCS").collect()} == {"NOT_FOUND"}
 
 
+def test_one_entry_in_one_pass(spark):
+    """Files are decoded once, each by itself, and what was read is all that moves on."""
+    made = [("a", codecs.tar_encode([codecs.Entry("x", b"1"), codecs.Entry("x", b"2")])), ("a", codecs.tar_encode([codecs.Entry("x", b"3")])), (None, codecs.tar_encode([codecs.Entry("x", b"4")]))]
+    got = entries.read(spark.createDataFrame(made, "path string, content binary"), "x")
+    assert sorted((r["path"] or "", bytes(r["data"])) for r in got.collect()) == [("", b"4"), ("a", b"2"), ("a", b"3")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Join" not in plan
+    assert entries.read_one(disks.fat_encode(TREE), "docs", "fat32") == (None, "NOT_FOUND")
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_volumes_stay_in_their_worker(spark):
+    from bytefold.plans import catalog
+
+    plan = catalog.fat_read(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and "content" not in plan and "Join" not in plan
+
+
 def test_extraction_to_a_folder(spark, images, tmp_path):
     out = files.write_files(entries.targets(entries.entries(images.where("path = 'i.iso'")), f"file:{tmp_path}/a"), "path").collect()
     assert len(out) == 3 and all(r["error"] is None for r in out)
