@@ -7,7 +7,7 @@ truncates is kept in 32-bit floats step by step.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -80,12 +80,28 @@ def _kernel(t: str) -> str:
     return f"case when {t} <= 1 then 1.5D * {t} * {t} * {t} - 2.5D * {t} * {t} + 1 when {t} < 2 then -0.5D * {t} * {t} * {t} + 2.5D * {t} * {t} - 4 * {t} + 2 else 0D end"
 
 
+#: Target rows that are summed together; a source row goes to each band that it has weight in.
+BAND = 16
+
+
+def _taps(spark: SparkSession, size: int, new: int, at: str, source: str, weight: str) -> DataFrame:
+    """(at, source, weight) along one side: where each target finds its four neighbours, clamped; those without weight are left out."""
+    f = f32(f"{f32(at)} * {f32(f'{f32(str(size - 1))} / {f32(str(new))}')}")
+    four = spark.range(0, new, 1, 1).selectExpr(f"cast(id as int) as {at}").selectExpr(at, f"{f} as f").selectExpr(at, "f", "cast(f as int) as f0", "explode(sequence(-1, 2)) as i")
+    return four.selectExpr(at, f"greatest(0, least({size - 1}, f0 + i)) as {source}", f"{_kernel('cast(f - cast(f0 + i as float) as double)')} as {weight}").where(f"{weight} <> 0")
+
+
 def bicubic(df: DataFrame, w: int, h: int, nw: int, nh: int) -> DataFrame:
-    """Catmull-Rom over 4 x 4 neighbours with clamped edges; weights normalised; sums in doubles."""
-    near = _source(df, w, h, nw, nh).selectExpr("*", "explode(sequence(-1, 2)) as i").selectExpr("*", "explode(sequence(-1, 2)) as j")
-    near = near.selectExpr("image_id", "c", "y", "x", f"greatest(0, least({w - 1}, x0 + i)) as sx", f"greatest(0, least({h - 1}, y0 + j)) as sy", f"({_kernel('cast(fx - cast(x0 + i as float) as double)')}) * ({_kernel('cast(fy - cast(y0 + j as float) as double)')}) as k")
-    met = near.join(df.selectExpr("image_id", "c", "y as sy", "x as sx", "v"), ["image_id", "c", "sy", "sx"])
-    out = met.groupBy("image_id", "y", "x", "c").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("s"))
+    """Catmull-Rom over 4 x 4 neighbours with clamped edges; weights normalised; sums in doubles.
+
+    Source pixels move once, to the bands of target rows that need them. Both sides' weights are
+    broadcast, and each pixel is added to the targets where it lies, so the 16 terms of a target never move.
+    """
+    across, down = _taps(df.sparkSession, w, nw, "x", "sx", "kx"), _taps(df.sparkSession, h, nh, "y", "sy", "ky").withColumn("band", F.expr(f"y div {BAND}"))
+    source = df.where("image_id is not null and c is not null").selectExpr("image_id", "c", "y as sy", "x as sx", "v")
+    near = source.join(F.broadcast(down.select("band", "sy").distinct()), "sy").repartition("image_id", "c", "band")
+    met = near.join(F.broadcast(across), "sx").join(F.broadcast(down), ["band", "sy"]).selectExpr("image_id", "c", "band", "y", "x", "v", "kx * ky as k")
+    out = met.groupBy("image_id", "c", "band", "y", "x").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("s"))
     return out.selectExpr("image_id", "y", "x", "c", "greatest(0, least(255, cast(round(s, 6) as int))) as v")
 
 

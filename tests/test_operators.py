@@ -83,3 +83,30 @@ def test_a_deep_tree(spark):
     odd = spark.createDataFrame([(1000, 1001, "a", True), (1001, 1000, "b", True), (1002, 1000, "c", False), (1003, 99999, "d", False)], "id long, parent long, name string, is_dir boolean")
     got = {r["id"]: r["path"] for r in relations.tree_paths(deep.unionByName(odd)).collect()}
     assert got == {i: "/".join(f"d{k}" for k in range(i + 1)) + "/" * (i < 499) for i in range(500)}
+
+
+def test_bicubic_moves_each_pixel_once(spark):
+    """Equal to the array form over several bands, twice the size and half of it; sums stay where the pixels were dealt to."""
+    import numpy as np
+
+    from bytefold.functions import codecs
+    from bytefold.operators import pixels
+
+    image = np.random.default_rng(1).integers(0, 256, (40, 9, 3), np.uint8)
+    df = spark.createDataFrame([(1, y, x, c, int(image[y, x, c])) for y in range(40) for x in range(9) for c in range(3)], "image_id int, y int, x int, c int, v int")
+    for w, h in ((18, 80), (4, 20), (9, 40)):
+        out = pixels.bicubic(df, 9, 40, w, h)
+        got, want = {(r["y"], r["x"], r["c"]): r["v"] for r in out.collect()}, codecs.image_transform(image, width=w, height=h, method="bicubic", keep_aspect=False)
+        assert want.shape[:2] == (h, w) and len(got) == w * h * 3
+        assert max(abs(v - int(want[k])) for k, v in got.items()) <= 1
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(image_id") == 1
+
+
+def test_bicubic_without_the_only_pixel_that_counts(spark):
+    """A target whose neighbours with weight are all missing has no row; the others stay, doubled and null pixels as any."""
+    from bytefold.operators import pixels
+
+    rows = [(1, 0, 1, 0, 10), (1, 1, 0, 0, 20), (1, 1, 1, 0, 30), (2, 0, 0, 0, 7), (2, 0, 0, 0, 9), (2, 0, 1, 0, None), (2, 1, 0, 0, 8), (2, 1, 1, 0, 8)]
+    got = {(r["image_id"], r["y"], r["x"]): r["v"] for r in pixels.bicubic(spark.createDataFrame(rows, "image_id int, y int, x int, c int, v int"), 2, 2, 2, 2).collect()}
+    assert set(got) == {(i, y, x) for i in (1, 2) for y in (0, 1) for x in (0, 1)} - {(1, 0, 0)} and got[2, 0, 0] == 8
